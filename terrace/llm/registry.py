@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from terrace.llm import pieces, simhash
+from terrace.llm import pieces, simhash, substring, toxicity
 from terrace.llm._common import table
 
 
@@ -19,8 +19,17 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.near_passages(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op5_sentencepiece)}
+    return {f.__name__: f for f in (op3_simhash, op5_sentencepiece, op8_toxicity, op9_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
