@@ -6,11 +6,18 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from terrace.llm import pieces, simhash, substring, toxicity
+from terrace.llm import mixing, pieces, simhash, substring, toxicity
 from terrace.llm._common import table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    mixed = mixing.mix(docs, mixing.DOMAINS, mixing.WEIGHTS, mixing.SHARE_PERCENT, mixing.MAX_EPOCHS, mixing.SEED)
+    return mixed.select("doc_id", F.col("_domain").alias("domain"), F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("source", F.lit("unknown")).alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -29,8 +36,8 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_simhash, op5_sentencepiece, op8_toxicity, op9_substring)}
+    return {f.__name__: f for f in (op1_mixing, op3_simhash, op5_sentencepiece, op8_toxicity, op9_substring)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_mixing": mixing.oracle()}

@@ -8,8 +8,9 @@ from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from terrace.llm._common import cut, discard, over_batches, small_batches
@@ -252,6 +253,14 @@ def fit(docs: DataFrame, labels: DataFrame, calibrate_rows: int = 20_000) -> Mod
     return model
 
 
+def _chance(model: Model) -> Column:
+    """The calibrated chance from the columns of FEATURES."""
+    total = F.lit(float(model.scale[0]))
+    for name, weight in zip(FEATURES, model.scale[1:]):
+        total = total + F.lit(float(weight)) * F.col(name)
+    return 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))
+
+
 def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) of every row, by its whole text alone.
 
@@ -263,8 +272,26 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         found = features(docs, model, ("doc_id",))
     else:
         found = docs.select("doc_id")
-    total = F.lit(float(model.scale[0]))
-    for name, weight in zip(FEATURES, model.scale[1:]):
-        total = total + F.lit(float(weight)) * F.col(name)
-    chance = 1 / (1 + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))
+    chance = _chance(model)
     return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 3 == 1).alias("held_out"), chance.alias("score"), (chance >= threshold).cast("int").alias("predicted"))
+
+
+def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
+    """docs without the rows whose text score() would mark. Their columns pass unchanged; only texts go to Python."""
+    small_batches(docs.sparkSession)
+    if not model.gram:
+        return docs if _chance_at_rest(model) < threshold else docs.where("false")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(", ".join(f"{n} double" for n in FEATURES))
+    def judged(text: pd.Series) -> pd.DataFrame:
+        known = _known(shared.value.name)
+        return pd.DataFrame([_features(t, shared.value, known) for t in text], columns=list(FEATURES))
+
+    names = [F.col(f"_own.{c}") for c in docs.columns]
+    rows = docs.select(F.struct(*docs.columns).alias("_own"), judged("text").alias("_judged"))
+    return rows.select("_own", "_judged.*").where(_chance(model) < threshold).select(*names)
+
+
+def _chance_at_rest(model: Model) -> float:
+    return float(1 / (1 + np.exp(-np.clip(model.scale[0], -30, 30))))
