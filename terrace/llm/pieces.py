@@ -65,7 +65,8 @@ class Pieces:
     characters gives the same two pieces again; places from which nothing can follow are kept in a bitfield, so each fails once.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, spell: bool = True) -> None:
+        """spell: also prepare encode() and decode(); without it the model has its pieces alone."""
         with open(path, "rb") as f:
             model = _fields(f.read())
         self.pieces, self.scores, self.kinds = [], [], []
@@ -85,6 +86,8 @@ class Pieces:
         self.unknown = self.kinds.index(UNKNOWN)
         self.byte = {int(p[3:5], 16): k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds)) if kind == BYTE}
         self.ids = {p: k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds)) if kind == NORMAL}
+        if not spell:
+            return
         self.fits = lru_cache(1 << 18)(self._fits)
         self.chars = {p for p in self.ids if len(p) == 1}
         self.auto = ahocorasick.Automaton()

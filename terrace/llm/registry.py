@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import mixing, pieces, simhash, substring, toxicity
+from terrace.llm import licences, mixing, pieces, simhash, substring, toxicity, wordpieces
 from terrace.llm._common import table
 
 
@@ -22,6 +22,10 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -35,9 +39,13 @@ def op9_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.near_passages(table(spark, sf_dir, "documents"))
 
 
+def op10_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wordpieces.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op3_simhash, op5_sentencepiece, op8_toxicity, op9_substring)}
+    return {f.__name__: f for f in (op1_mixing, op3_simhash, op4_licences, op5_sentencepiece, op8_toxicity, op9_substring, op10_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mixing": mixing.oracle()}
+    return {"op1_mixing": mixing.oracle(), "op4_licences": licences.oracle()}
