@@ -57,16 +57,19 @@ def _grams(words: list[str]) -> tuple[dict[int, tuple[np.ndarray, np.ndarray]],
     codes, word = _letters(words)
     place = np.arange(len(codes)) - np.searchsorted(word, word)
     ends = np.flatnonzero(place >= ORDER - 1)
-    mixed = (codes + np.uint64(0x51ED27)) * np.uint64(0xBF58476D1CE4E5B9)
+    letters = np.stack([codes[ends - k] for k in range(ORDER - 1, -1, -1)], axis=1)
+    return {n: _hashes(letters[:, ORDER - n :]) for n in range(1, ORDER + 1)}, word[ends]
+
+
+def _hashes(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of grams, a row of letters each, and of their contexts: all letters but the last."""
+    mixed = (letters + np.uint64(0x51ED27)) * np.uint64(0xBF58476D1CE4E5B9)
     mixed ^= mixed >> np.uint64(29)
-    out = {}
-    context = np.zeros(len(ends), np.uint64)
-    powers = [np.uint64(pow(_BASE, k, 1 << 64)) for k in range(ORDER)]
-    for n in range(1, ORDER + 1):
-        if n > 1:
-            context = context + mixed[ends - n + 1] * powers[n - 1]
-        out[n] = (context + mixed[ends], context * np.uint64(0x94D049BB133111EB) + np.uint64(n))
-    return out, word[ends]
+    n = letters.shape[1]
+    context = np.zeros(len(letters), np.uint64)
+    for k in range(n - 1):
+        context = context * np.uint64(_BASE) + mixed[:, k]
+    return context * np.uint64(_BASE) + mixed[:, -1], context * np.uint64(0x94D049BB133111EB) + np.uint64(n)
 
 
 def _slot(h: np.ndarray, order: int) -> np.ndarray:
@@ -108,49 +111,40 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 def _gram_counts(words: DataFrame) -> DataFrame:
-    """The distinct grams of the highest order with their counts by class, and the hashes of all their shorter ends."""
-    names = [f"{kind}{n}" for n in range(1, ORDER + 1) for kind in "gc"]
+    """(gram, toxic, ordinary): the distinct grams of the highest order, and how often each stands in either class."""
 
-    def f(b: dict[str, list]) -> dict[str, np.ndarray]:
-        grams, word = _grams(b["word"])
-        toxic, ordinary = (np.array(b[k], np.int64)[word] for k in ("toxic", "ordinary"))
-        _, first, place = np.unique(grams[ORDER][0], return_index=True, return_inverse=True)
-        out = {name: grams[int(name[1])]["gc".index(name[0])][first].view(np.int64) for name in names}
-        return out | {"toxic": np.bincount(place, toxic).astype(np.int64), "ordinary": np.bincount(place, ordinary).astype(np.int64)}
+    def f(b: dict[str, list]) -> dict[str, list]:
+        codes, word = _letters(b["word"])
+        ends = np.flatnonzero(np.arange(len(codes)) - np.searchsorted(word, word) >= ORDER - 1)
+        letters = np.stack([codes[ends - k] for k in range(ORDER - 1, -1, -1)], axis=1)
+        _, first, place = np.unique(_hashes(letters)[0], return_index=True, return_inverse=True)
+        toxic, ordinary = (np.bincount(place, np.array(b[k], np.float64)[word[ends]]).astype(np.int64) for k in ("toxic", "ordinary"))
+        grams = [x.tobytes().decode("utf-32-le", "replace") for x in letters[first].astype("<u4")]
+        return {"gram": grams, "toxic": toxic, "ordinary": ordinary}
 
-    columns = [*names, "toxic", "ordinary"]
-    rows = over_batches(words, f, ", ".join(f"{c} long" for c in columns), pa.schema([(c, pa.int64()) for c in columns]))
-    return rows.groupBy(f"g{ORDER}").agg(*(F.first(c).alias(c) for c in names if c != f"g{ORDER}"), F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    arrow = pa.schema([("gram", pa.string()), ("toxic", pa.int64()), ("ordinary", pa.int64())])
+    return over_batches(words, f, "gram string, toxic long, ordinary long", arrow).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def _tables(grams: DataFrame) -> dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """For each order (gram slots, context slots, their sums) from the distinct grams: counts at the highest order, numbers of distinct longer grams below."""
-    spark, out, level, paths = grams.sparkSession, {}, grams, []
-    for n in range(ORDER, 0, -1):
-        if n < ORDER:
-            rest = [f"{k}{m}" for m in range(1, n + 1) for k in "gc" if (k, m) != ("g", n)]
-            level = level.groupBy(f"g{n}").agg(*(F.first(c).alias(c) for c in rest), F.sum((F.col("toxic") > 0).cast("long")).alias("toxic"), F.sum((F.col("ordinary") > 0).cast("long")).alias("ordinary"))
-        level, path = cut(level, "grams")
-        paths.append(path)
-        both = F.col("toxic") + F.col("ordinary")
-        t, o = (F.col("toxic"), F.col("ordinary")) if n > SHARED else (both, both)
-        sums = []
-        for kind in "gc":
-            # the same slots as _slot(): xor-shift, multiply and keep the high bits
-            h = F.col(f"{kind}{n}")
-            rows = level.select(h.alias("h"), t.cast("double").alias("t"), o.cast("double").alias("o"))
-            rows = rows.select("h", F.greatest(F.col("t") - DISCOUNT, F.lit(0.0)).alias("dt"), F.greatest(F.col("o") - DISCOUNT, F.lit(0.0)).alias("do"), "t", "o")
-            arrow = pa.schema([("slot", pa.int32())] + [(c, pa.float64()) for c in ("dt", "do", "t", "o")])
-
-            def f(b: dict[str, list], n: int = n) -> dict[str, np.ndarray]:
-                return {"slot": _slot(np.array(b["h"], np.int64).view(np.uint64), n).astype(np.int32), **{c: b[c] for c in ("dt", "do", "t", "o")}}
-
-            rows = over_batches(rows, f, "slot int, dt double, do double, t double, o double", arrow)
-            got = rows.groupBy("slot").agg(*(F.sum(c).alias(c) for c in ("dt", "do", "t", "o"))).toArrow()
-            sums.append((got["slot"].to_numpy(), np.stack([got[c].to_numpy() for c in ("dt", "do", "t", "o")])))
-        out[n] = sums
-    discard(spark, *paths)
-    return out
+def _slot_counts(level: DataFrame, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the grams of order n and for their contexts: slots, and in each the classes' counts and numbers of distinct grams."""
+    names = ("toxic", "ordinary", "toxic_kinds", "ordinary_kinds")
+
+    def f(b: dict[str, list]) -> dict[str, np.ndarray]:
+        letters = np.frombuffer("".join(b["gram"]).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
+        t, o = (np.array(b[k], np.float64) for k in ("toxic", "ordinary"))
+        out: dict[str, list] = {k: [] for k in ("kind", "slot", *names)}
+        for kind, h in enumerate(_hashes(letters)):
+            slots, place = np.unique(_slot(h, n), return_inverse=True)
+            for k, v in zip(("kind", "slot", *names), (np.full(len(slots), kind), slots, *(np.bincount(place, x) for x in (t, o, t > 0, o > 0)))):
+                out[k].append(v)
+        return {k: np.concatenate(v).astype(np.int64) for k, v in out.items()}
+
+    columns = ("kind", "slot", *names)
+    rows = over_batches(level, f, ", ".join(f"{c} long" for c in columns), pa.schema([(c, pa.int64()) for c in columns]))
+    got = rows.groupBy("kind", "slot").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    kind = got["kind"].to_numpy()
+    return [(got["slot"].to_numpy()[kind == k], np.stack([got[c].to_numpy()[kind == k] for c in names]).astype(np.float64)) for k in (0, 1)]
 
 
 def fit_counts(labelled: DataFrame) -> Model:
@@ -159,16 +153,26 @@ def fit_counts(labelled: DataFrame) -> Model:
     spark = labelled.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
     gram, left = {}, {}
-    grams, path = cut(_gram_counts(words), "grams")
-    for n, ((g, gs), (c, cs)) in _tables(grams).items():
+    level, path = cut(_gram_counts(words), "grams")
+    discard(spark, at)
+    for n in range(ORDER, 0, -1):
+        if n < ORDER:  # below the highest order a gram counts once for each distinct longer one that it ends
+            shorter = level.groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.sum((F.col("toxic") > 0).cast("long")).alias("toxic"), F.sum((F.col("ordinary") > 0).cast("long")).alias("ordinary"))
+            if n <= SHARED:
+                both = F.col("toxic") + F.col("ordinary") if n == SHARED else F.greatest("toxic", "ordinary")
+                shorter = shorter.select("gram", both.alias("toxic"), both.alias("ordinary"))
+            before = path
+            level, path = cut(shorter, "grams")
+            discard(spark, before)
         size = 1 << SLOT_BITS[n]
+        (g, x), (c, y) = _slot_counts(level, n)
         gram[n], left[n] = np.zeros((2, size), np.float32), np.zeros((4, size), np.float32)
-        gram[n][:, g] = gs[:2]
-        left[n][2:, c] = cs[2:]
+        gram[n][:, g] = x[:2] - DISCOUNT * x[2:]
+        left[n][2:, c] = y[:2]
         # the mass that discounts leave to the next lower order; all of it where a context is unknown
         left[n][:2] = 1
-        left[n][:2, c] = np.where(cs[2:] > 0, 1 - cs[:2] / np.maximum(cs[2:], 1), 1)
-    discard(spark, at, path)
+        left[n][:2, c] = np.where(y[:2] > 0, DISCOUNT * y[2:] / np.maximum(y[:2], 1), 1)
+    discard(spark, path)
     small_batches(spark)
     return Model(gram, left)
 
