@@ -44,7 +44,7 @@ class Index:
         columns: dict[int, list[np.ndarray]] = {}
         for j in range(int(size.max(initial=0)).bit_length()):
             at = np.flatnonzero(size >> j & 1)
-            for b in range(self.bits):
+            for b in range(self.bits if len(at) else 0):
                 columns.setdefault(j + b, []).append(self.slices[sign[at], at, b])
         out, w = [], 0
         while columns and w <= max(columns):
