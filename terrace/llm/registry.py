@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm import bitslice, embeddings, licences, mixing, pieces, simhash, substring, toxicity, wordpieces
+from terrace.llm import bitslice, embeddings, language, licences, mixing, pieces, simhash, substring, toxicity, wordpieces
 from terrace.llm._common import table
 
 
@@ -38,6 +38,11 @@ def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bitslice.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20, scale=64.0)
 
 
+def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language.predict(docs, language.fit(docs))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -59,7 +64,7 @@ QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <=
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mixing, op2_embeddings, op3_simhash, op4_licences, op5_sentencepiece, op6_topk, op8_toxicity, op9_substring, op10_tokens)}
+    return {f.__name__: f for f in (op1_mixing, op2_embeddings, op3_simhash, op4_licences, op5_sentencepiece, op6_topk, op7_language, op8_toxicity, op9_substring, op10_tokens)}
 
 
 def oracle_sql() -> dict[str, str]:
