@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from terrace.plans import queries as layer_queries
+from terrace.plans import spatial
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(layer_queries.QUERIES)
+    return layer_queries.QUERIES | spatial.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(layer_queries.SQL)
+    return layer_queries.SQL | spatial.SQL
