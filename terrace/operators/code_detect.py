@@ -25,8 +25,8 @@ def code_findings(units: DataFrame) -> DataFrame:
 
     def blank() -> DataFrame:
         rows = units.where("code is null and name_index = 0").groupBy("level", "code_column", "parent_code")
-        rows = rows.agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("name")), " / ").alias("names"))
-        return finding(rows, SCHEMA, "blank-code", level="level", column_name="code_column", reason=F.format_string("%d units under %s have no code: %s", "n", F.coalesce("parent_code", F.lit("the root")), F.when(F.col("names") == "", "no name either").otherwise(F.col("names"))))
+        rows = rows.agg(F.count("*").alias("n"), F.array_sort(F.collect_set("name")).alias("names"))
+        return finding(rows, SCHEMA, "blank-code", level="level", column_name="code_column", reason=F.format_string("%d units under %s have no code: %s", "n", F.coalesce("parent_code", F.lit("the root")), F.when(F.size("names") == 0, "no name either").otherwise(F.array_join("names", " / "))))
 
     def conflict() -> DataFrame:
         rows = named.groupBy("level", "name_column", "name_index", "code").agg(F.array_sort(F.collect_set("name")).alias("names")).where("size(names) > 1")
