@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 import uuid
+import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from terrace.llm._common import cut, discard, over_batches, small_batches
@@ -85,6 +87,23 @@ class Model:
     left: dict[int, np.ndarray]
     scale: tuple[float, ...] = (0.0,) * (len(FEATURES) + 1)
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
+    shared: Broadcast | None = None
+
+    def share(self, spark: SparkSession) -> Broadcast:
+        """The model on every executor, sent once."""
+        if self.shared is None:
+            self.shared = spark.sparkContext.broadcast(self)
+        return self.shared
+
+    def __getstate__(self) -> dict:
+        """Packed: most slots of the tables are empty."""
+        packed = {k: {n: (x.shape, zlib.compress(x.tobytes(), 1)) for n, x in getattr(self, k).items()} for k in ("gram", "left")}
+        return self.__dict__ | packed | {"shared": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__ |= state
+        for k in ("gram", "left"):
+            setattr(self, k, {n: np.frombuffer(zlib.decompress(data), np.float32).reshape(shape) for n, (shape, data) in state[k].items()})
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary), by interpolated Kneser-Ney; orders up to SHARED are the same for both."""
@@ -179,7 +198,7 @@ def fit_counts(labelled: DataFrame) -> Model:
 
 def features(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """docs' `keep` columns with FEATURES, all normalised by length, of each whole text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.share(docs.sparkSession)
 
     def f(b: dict[str, list]) -> dict[str, list]:
         known = _known(shared.value.name)
@@ -246,7 +265,8 @@ def fit(docs: DataFrame, labels: DataFrame, calibrate_rows: int = 20_000) -> Mod
     if len(n) < 2:
         share = float(n.get(1, 0) > 0)
         return Model({}, {}, (30.0 * (2 * share - 1),))
-    model = fit_counts(texts.where(~aside).join(marks, "doc_id").select("text", "toxic"))
+    # one way of joining at every size: neither side is bounded
+    model = fit_counts(texts.where(~aside).join(marks.hint("merge"), "doc_id").select("text", "toxic"))
     few = marks.where(aside).orderBy(order, "doc_id").limit(calibrate_rows)  # so few that each executor can have them
     seen = features(texts.where(aside).join(F.broadcast(few), "doc_id"), model, ("toxic",)).toPandas()
     if seen["toxic"].nunique() == 2:
@@ -285,7 +305,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     small_batches(docs.sparkSession)
     if not model.gram:
         return docs if _chance_at_rest(model) < threshold else docs.where("false")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = model.share(docs.sparkSession)
 
     @F.pandas_udf(", ".join(f"{n} double" for n in FEATURES))
     def judged(text: pd.Series) -> pd.DataFrame:
