@@ -184,3 +184,61 @@ def crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
     layer = layers.admin(spark, sf_dir)
     rows = {"adm2_code": "unit", "adm1_code": "parent", "key": "key"}
     return schema_detect.apply_crosswalk(layer, [(c, rows.get(c)) for c in layer.columns])
+
+
+@query(f"""SELECT source_column, target_column, unique_count FROM (SELECT 'adm1_code' AS source_column, 'adm1_code' AS target_column, count(DISTINCT adm1_code) AS unique_count FROM ({layers.ADMIN_SQL})
+UNION ALL SELECT 'adm1_name', 'adm1_name', count(DISTINCT adm1_name) FROM ({layers.ADMIN_SQL}) UNION ALL SELECT 'adm2_code', 'adm2_code', count(DISTINCT adm2_code) FROM ({layers.ADMIN_SQL}) UNION ALL SELECT 'adm2_name', 'adm2_name', count(DISTINCT adm2_name) FROM ({layers.ADMIN_SQL})
+UNION ALL SELECT 'adm3_code', 'adm3_code', count(DISTINCT adm3_code) FROM ({layers.ADMIN_SQL}) UNION ALL SELECT 'segment', NULL, count(DISTINCT segment) FROM ({layers.ADMIN_SQL}))""")
+def schema_map_crosswalk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.operators.schema_map import schema_map
+
+    return schema_map(layers.admin(spark, sf_dir).drop("key", "adm3_name")).select("source_column", "target_column", "unique_count")
+
+
+@query(f"SELECT fid, CAST(1.0 AS DOUBLE) AS area FROM ({layers.NATION_SQL})")
+def merge_micro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.operators.slivers import merge_micro as merge
+
+    n = layers.nation_boxes(spark, sf_dir)
+    sliver = n.where("fid = 4").withColumns({"fid": F.lit(99).cast(n.schema["fid"].dataType), "xmin": F.col("xmax"), "xmax": F.col("xmax") + 5e-9})
+    out, _ = merge(shaped(n.unionByName(sliver)).select("fid", "geom"))
+    return out.select("fid", F.round(st("area", "geom"), 6).alias("area"))
+
+
+@query()
+def edge_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.operators import edge
+
+    grown = edge.edge_extend(shaped(layers.nation_boxes(spark, sf_dir)).select("fid", "geom"), distance=0.1, margin=0.5)
+    return grown.select("fid", F.round(st("area", "geom"), 3).alias("area"))
+
+
+@query(f"SELECT 7 AS overlay_fid, count(*) AS units, CAST(36.0 AS DOUBLE) AS area FROM ({layers.NATION_SQL})")
+def edge_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.operators import edge
+
+    units = shaped(layers.nation_boxes(spark, sf_dir)).select("fid", "geom")
+    around = units.limit(1).select(F.lit(7).cast("long").alias("fid"), st("makeenvelope", F.lit(-0.5), F.lit(-0.5), F.lit(5.5), F.lit(5.5)).alias("geom"))
+    out = edge.edge_match(units, around, "many", distance=0.1, margin=0.8)
+    return out.groupBy(F.col("overlay_fid").cast("int").alias("overlay_fid")).agg(F.count("*").alias("units"), F.round(F.sum(st("area", "geom")), 4).alias("area"))
+
+
+@query(f"SELECT fid, CAST(xmax - xmin AS DOUBLE) AS area FROM ({layers.NATION_SQL})")
+def edge_stitch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.operators import edge
+
+    n = shaped(layers.nation_boxes(spark, sf_dir)).select("fid", "geom")
+    out = edge.edge_stitch([n.where("fid < 12"), n.where("fid >= 12")])
+    return out.select("fid", F.round(st("area", "geom"), 6).alias("area"))
+
+
+@query()
+def code_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from terrace.functions.codes import CodeFormat
+    from terrace.operators import change
+    from terrace.operators.code_update import code_update_level
+
+    a, b = layers.old_boxes(spark, sf_dir), layers.new_boxes(spark, sf_dir)
+    _, links = change.classify(a, b, assign.coverage_ratios(a, b), ("code",))
+    old = a.select("fid", F.concat(F.lit("W."), F.lpad(F.col("fid").cast("string"), 3, "0")).alias("code"), F.lit("W").alias("parent_code"))
+    return code_update_level(old, b.select("fid", F.lit("W").alias("parent_code")), links, CodeFormat("W"), 1)
