@@ -95,8 +95,8 @@ def chain(layer: DataFrame, known: Facts) -> list[list[str]]:
 def schema_map(layer: DataFrame, fields: Target = Target(), level: int | None = None) -> DataFrame:
     """The crosswalk (column_order, source_column, target_column, unique_count, note): each level's names and codes under the templates.
 
-    The first level is 0 if constants make a root, else 1; `level` anchors the deepest. In a level, columns whose values mostly hold a digit are codes, others names; further ones
-    get numbered siblings. Columns off the chain are matched to the level that they lie in: supplemental, without a target.
+    The first level is 0 if constants make a root, else 1; `level` anchors the deepest. In a level, columns whose values mostly hold a digit are codes, others names; where all do, column names tell.
+    Further ones get numbered siblings. Columns off the chain are matched to the level that they lie in: supplemental, without a target.
     """
     columns = candidates(layer)
     known = facts(layer, columns)
@@ -106,9 +106,13 @@ def schema_map(layer: DataFrame, fields: Target = Target(), level: int | None =
         first = level - len(found) + 1
     targets: dict[str, str] = {}
     at: dict[str, int] = {}
+    mark = fields.name_field.split("{n}")[1].strip("_").lower()
     for n, group in enumerate(found, first):
+        coded = {c for c in group if c in known.coded}
+        if len(coded) > 1 and coded == set(group):  # all look like codes: the names of the columns tell
+            coded = {c for c in group if not mark or mark not in c.lower()} or coded
         for codes in (False, True):
-            for c in (c for c in group if (c in known.coded) == codes):
+            for c in (c for c in group if (c in coded) == codes):
                 name = fields.code(n) if codes else fields.name(n)
                 targets[c] = name if name not in targets.values() else free_sibling(name, targets.values())
                 at[c] = n
