@@ -155,11 +155,11 @@ def near_duplicates(vectors: DataFrame, least: float = 0.93, passes: int = 24, b
     bounds no vector's links; a link is missed only if no pass and no path of other links joins its ends (the recall that tests measure). No link is below `least`.
     n_links: other vectors linked directly, copies included; component_id: the smallest vec_id reachable, the vector's own included;
     kept: vec_id = component_id. Equal vectors are one class and aren't expanded into pairs. Vectors that are null, empty or zero, or hold
-    null or non-finite components, and those with a null label, link with nothing; so do vectors of unlike lengths. Rows that repeat a
+    null or non-finite components, and those with a null label or vec_id, link with nothing; so do vectors of unlike lengths. Rows that repeat a
     vec_id count as vectors of their own. Other columns are ignored; an empty table gives an empty result.
     """
     v = F.col("embedding")
-    usable = F.col("label").isNotNull() & finite(v) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
+    usable = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & finite(v) & F.coalesce(F.exists(v, lambda x: x != 0), F.lit(False))
     rows = vectors.select("vec_id", F.col("label").cast("string").alias("label"), v.alias("v"), usable.alias("usable"))
     key = [F.col("label"), F.size("v").alias("dim"), F.xxhash64("v").alias("k1"), F.xxhash64(F.lit(1), "v").alias("k2")]
     keyed = rows.where("usable").select("vec_id", *key, "v")

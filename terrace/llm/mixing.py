@@ -105,10 +105,13 @@ def mix(docs: DataFrame, domains: Mapping[str, tuple[str, ...]], weights: Mappin
     last = inside.withColumn("before", F.sum("tokens").over(up) - F.col("tokens")).where("before < rest").groupBy(*LEVELS).agg(F.max("key").alias("cutoff"))
     full, full_at = cut(plan.join(last, list(LEVELS), "left").select(F.col("domain").alias("_domain"), F.col("lang").alias("_lang"), F.col("source").alias("_source"), "epochs", "cutoff"), "plan")
     discard(spark, at, plan_at, edge_at)
-    taken = docs.withColumns(leaf_columns).join(sent(full), ["_domain", "_lang", "_source"])
+    # the rows' own columns travel in one, so that none clashes with the plan's
+    own = docs.select("doc_id", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("own"), *(v.alias(k) for k, v in leaf_columns.items()))
+    taken = own.join(sent(full), ["_domain", "_lang", "_source"])
     copies = (F.col("epochs") + F.when(key() <= F.col("cutoff"), 1).otherwise(0)).cast("int")
-    taken = taken.withColumn("_copies", copies).where("_copies > 0")
-    return taken.select(*docs.columns, "_domain", n_words(F.col("text")).alias("_tokens"), F.explode(F.sequence(F.lit(0), F.col("_copies") - 1)).alias("_epoch"))
+    taken = taken.withColumn("copies", copies).where("copies > 0")
+    field = F.col("own").getField
+    return taken.select(*(field(c).alias(c) for c in docs.columns), "_domain", n_words(field("text")).alias("_tokens"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("_epoch"))
 
 
 #: What the registered query and the pipeline use.

@@ -312,8 +312,8 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
         known = _known(shared.value.name)
         return pd.DataFrame([_features(t, shared.value, known) for t in text], columns=list(FEATURES))
 
-    names = [F.col(f"_own.{c}") for c in docs.columns]
-    rows = docs.select(F.struct(*docs.columns).alias("_own"), judged("text").alias("_judged"))
+    names = [F.col("_own").getField(c).alias(c) for c in docs.columns]
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own"), judged("text").alias("_judged"))
     return rows.select("_own", "_judged.*").where(_chance(model) < threshold).select(*names)
 
 

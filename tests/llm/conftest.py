@@ -11,8 +11,8 @@ def docs(spark):
     def make(texts, ids=None, **columns):
         ids = list(range(len(texts))) if ids is None else ids
         names = list(columns)
-        rows = [(i, t, *(columns[n][k] for n in names), "x", 1) for k, (i, t) in enumerate(zip(ids, texts))]
-        schema = ", ".join(["doc_id long", "text string", *(f"{n} {'int' if n == 'toxic' else 'string'}" for n in names), "key string", "tokens int"])
+        rows = [(i, t, *(columns[n][k] for n in names), "x", 1, 2) for k, (i, t) in enumerate(zip(ids, texts))]
+        schema = ", ".join(["doc_id long", "text string", *(f"{n} {'int' if n == 'toxic' else 'string'}" for n in names), "key string", "spans int", "epochs int"])
         return spark.createDataFrame(rows, schema)
 
     return make
