@@ -38,3 +38,14 @@ def test_matching_fits_units_to_their_outline(spark):
     got = {r.fid: (r.overlay_fid, r.a) for r in edge.edge_match(units, overlay, "many", distance=0.05, margin=0.3).select("fid", "overlay_fid", st("area", "geom").alias("a")).collect()}
     assert got[3] == (-1, 0.25) and got[1][0] == got[2][0] == 7
     assert math.isclose(got[1][1] + got[2][1], 2.0, rel_tol=1e-6)
+
+
+def test_notches_between_edges_that_run_apart(spark):
+    from terrace.operators.notches import detect_notches
+
+    register(spark)
+    rows = [(1, "POLYGON((0 0,0.01 0,0.01 0.004,0.01001 0.005,0.01 0.006,0.01 0.01,0 0.01,0 0))"), (2, "POLYGON((0.01 0,0.02 0,0.02 0.01,0.01 0.01,0.01 0.006,0.01 0.004,0.01 0))"), (3, "POLYGON((0.02 0,0.03 0,0.03 0.01,0.02 0.01,0.02 0))")]
+    layer = spark.createDataFrame(rows, "fid long, w string").select("fid", st("geomfromtext", "w").alias("geom"))
+    found = detect_notches(layer).collect()
+    assert [(r.unit_a, r.unit_b) for r in found] == [(1, 2)] and found[0].score >= 2
+    assert detect_notches(layer.where("fid > 1")).count() == 0
