@@ -16,9 +16,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies the document with the smallest doc_id stays."""
+    """Of each class of near copies the document with the smallest doc_id stays. Rows with a null doc_id stay, as they can't be told to be one document; rows that repeat a doc_id stay or go together."""
     first = simhash.near_duplicates(docs).where("doc_id = component_id").select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"] == first["_first"], "left_semi")
+    return docs.join(first, docs["doc_id"] == first["_first"], "left_semi").unionAll(docs.where("doc_id is null"))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
