@@ -129,10 +129,14 @@ def train(texts: list[str], languages: list[str], epochs: int = 4, rate: float =
 
 
 def fit(docs: DataFrame, train_rows: int = 3_000) -> Model:
-    """A model from at most `train_rows` rows (the first by a hash of doc_id) with a language and a text, whose crc32(doc_id as text) mod 5 isn't 0. Whole texts count."""
+    """A model from at most `train_rows` documents (the first by a hash of doc_id) with a language and a text, whose crc32(doc_id as text) mod 5 isn't 0.
+
+    Whole texts count. Of rows that repeat a doc_id the one with the least language and text counts. The driver holds train_rows texts. With no such rows, as of an empty table, the model knows no language.
+    """
     rows = docs.where("lang is not null and text is not null and crc32(cast(doc_id as string)) % 5 <> 0")
     few = rows.select("doc_id", F.xxhash64("doc_id").alias("h")).distinct().orderBy("h", "doc_id").limit(train_rows).select("doc_id")
-    got = rows.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").orderBy("doc_id", "lang", "text").toArrow()  # bounded by train_rows
+    one = rows.select("doc_id", "text", "lang").join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min(F.struct("lang", "text")).alias("row"))
+    got = one.orderBy("doc_id").select("row.*").toArrow()  # bounded by train_rows
     return train(got["text"].to_pylist(), got["lang"].to_pylist())
 
 

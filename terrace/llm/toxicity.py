@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import re
 import uuid
-import zlib
 from collections import Counter
 from dataclasses import dataclass, field
 
@@ -21,8 +20,6 @@ from terrace.llm._common import cut, discard, over_batches, small_batches
 ORDER, SHARED = 6, 3
 #: Kneser-Ney's discount.
 DISCOUNT = 0.75
-#: Slots of the hashed count tables, by order: the proven bound on what is sent to the driver and to the executors.
-SLOT_BITS = {6: 20, 5: 19, 4: 18, 3: 17, 2: 14, 1: 12}
 #: What a text is judged by. mean: the ratio a word; peak: of the most toxic passage; over1 to over3: logarithms of how far words exceed ratios of 1 to 3, a word.
 FEATURES = ("mean", "peak", "over1", "over2", "over3")
 #: Words in a passage; passages overlap by half.
@@ -74,17 +71,45 @@ def _hashes(letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return context * np.uint64(_BASE) + mixed[:, -1], context * np.uint64(0x94D049BB133111EB) + np.uint64(n)
 
 
-def _slot(h: np.ndarray, order: int) -> np.ndarray:
-    x = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return (x >> np.uint64(64 - SLOT_BITS[order])).astype(np.int64)
+class Table:
+    """Values by 64-bit hash. Every key has a place of its own, so a table grows with what is counted and no gram takes another's counts."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray, unknown: tuple[float, ...]) -> None:
+        mixed = self._mixed(hashes)
+        order = np.argsort(mixed)
+        self.keys = mixed[order]
+        # the last column is that of unknown keys
+        self.values = np.concatenate([values[:, order], np.array(unknown)[:, None]], axis=1).astype(np.float32)
+        self.shift = np.uint64(64 - max(1, len(hashes).bit_length()))
+        slots = np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)
+        self.starts = np.searchsorted(self.keys >> self.shift, slots).astype(np.int32)
+
+    @staticmethod
+    def _mixed(h: np.ndarray) -> np.ndarray:
+        return (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+
+    def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
+        """A column of values for each hash."""
+        h = self._mixed(hashes)
+        slot = (h >> self.shift).astype(np.int64)
+        at, end, found = self.starts[slot], self.starts[slot + 1], np.full(len(h), -1)
+        open_ = np.flatnonzero(at < end)
+        while len(open_):
+            place = at[open_]
+            hit = self.keys[place] == h[open_]
+            found[open_[hit]] = place[hit]
+            open_ = open_[~hit]
+            at[open_] += 1
+            open_ = open_[at[open_] < end[open_]]
+        return self.values[:, found]
 
 
 @dataclass
 class Model:
-    """Hashed tables: for each order the grams' discounted shares and their contexts' leftover mass, of the toxic and the ordinary class; the scale of scores."""
+    """Tables for each order: the grams' discounted shares, and their contexts' leftover mass and counts, of the toxic and the ordinary class; the scale of scores."""
 
-    gram: dict[int, np.ndarray]
-    left: dict[int, np.ndarray]
+    gram: dict[int, Table]
+    left: dict[int, Table]
     scale: tuple[float, ...] = (0.0,) * (len(FEATURES) + 1)
     name: str = field(default_factory=lambda: uuid.uuid4().hex)
     shared: Broadcast | None = None
@@ -96,37 +121,34 @@ class Model:
         return self.shared
 
     def __getstate__(self) -> dict:
-        """Packed: most slots of the tables are empty."""
-        packed = {k: {n: (x.shape, zlib.compress(x.tobytes(), 1)) for n, x in getattr(self, k).items()} for k in ("gram", "left")}
-        return self.__dict__ | packed | {"shared": None}
-
-    def __setstate__(self, state: dict) -> None:
-        self.__dict__ |= state
-        for k in ("gram", "left"):
-            setattr(self, k, {n: np.frombuffer(zlib.decompress(data), np.float32).reshape(shape) for n, (shape, data) in state[k].items()})
+        return self.__dict__ | {"shared": None}
 
     def ratios(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary), by interpolated Kneser-Ney; orders up to SHARED are the same for both."""
         grams, word = _grams(words)
         p = np.full((2, len(word)), 1e-5)
         for n in range(1, ORDER + 1):
-            g, c = _slot(grams[n][0], n), _slot(grams[n][1], n)
-            p = self.gram[n][:, g] / np.maximum(self.left[n][2:4, c], 1) + self.left[n][:2, c] * p
+            share, left = self.gram[n][grams[n][0]], self.left[n][grams[n][1]]
+            p = share / np.maximum(left[2:], 1) + left[:2] * p
         return np.bincount(word, np.log(p[0] / p[1]), minlength=len(words))
 
 
 def _counts(docs: DataFrame) -> DataFrame:
-    """(word, toxic, ordinary): in how many places each word stands, by class. docs: text, toxic."""
+    """(word, toxic, ordinary, toxic_aside, ordinary_aside): in how many places each word stands, by class, in all rows and in those put aside. docs: text, toxic, aside."""
+    names = ("ordinary", "toxic", "ordinary_aside", "toxic_aside")
 
     def f(b: dict[str, list]) -> dict[str, list]:
-        seen = (Counter(), Counter())
-        for text, toxic in zip(b["text"], b["toxic"]):
-            seen[int(toxic)].update(words_of(text))
+        seen = [Counter() for _ in names]
+        for text, toxic, aside in zip(b["text"], b["toxic"], b["aside"]):
+            words = words_of(text)
+            seen[toxic].update(words)
+            if aside:
+                seen[2 + toxic].update(words)
         words = list(seen[0] | seen[1])
-        return {"word": words, "toxic": [seen[1][w] for w in words], "ordinary": [seen[0][w] for w in words]}
+        return {"word": words} | {n: [x[w] for w in words] for n, x in zip(names, seen)}
 
-    arrow = pa.schema([("word", pa.string()), ("toxic", pa.int64()), ("ordinary", pa.int64())])
-    return over_batches(docs, f, "word string, toxic long, ordinary long", arrow).groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
+    arrow = pa.schema([("word", pa.string()), *((n, pa.int64()) for n in names)])
+    return over_batches(docs, f, "word string" + "".join(f", {n} long" for n in names), arrow).groupBy("word").agg(*(F.sum(n).alias(n) for n in names))
 
 
 def _gram_counts(words: DataFrame) -> DataFrame:
@@ -145,54 +167,49 @@ def _gram_counts(words: DataFrame) -> DataFrame:
     return over_batches(words, f, "gram string, toxic long, ordinary long", arrow).groupBy("gram").agg(F.sum("toxic").alias("toxic"), F.sum("ordinary").alias("ordinary"))
 
 
-def _slot_counts(level: DataFrame, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For the grams of order n and for their contexts: slots, and in each the classes' counts and numbers of distinct grams."""
+def _hash_counts(level: DataFrame, n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For the grams of order n and for their contexts: hashes, and for each the classes' counts and numbers of distinct grams."""
     names = ("toxic", "ordinary", "toxic_kinds", "ordinary_kinds")
 
     def f(b: dict[str, list]) -> dict[str, np.ndarray]:
         letters = np.frombuffer("".join(b["gram"]).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.uint64)
         t, o = (np.array(b[k], np.float64) for k in ("toxic", "ordinary"))
-        out: dict[str, list] = {k: [] for k in ("kind", "slot", *names)}
+        out: dict[str, list] = {k: [] for k in ("kind", "hash", *names)}
         for kind, h in enumerate(_hashes(letters)):
-            slots, place = np.unique(_slot(h, n), return_inverse=True)
-            for k, v in zip(("kind", "slot", *names), (np.full(len(slots), kind), slots, *(np.bincount(place, x) for x in (t, o, t > 0, o > 0)))):
+            hashes, place = np.unique(h.view(np.int64), return_inverse=True)
+            for k, v in zip(("kind", "hash", *names), (np.full(len(hashes), kind), hashes, *(np.bincount(place, x).astype(np.int64) for x in (t, o, t > 0, o > 0)))):
                 out[k].append(v)
-        return {k: np.concatenate(v).astype(np.int64) for k, v in out.items()}
+        return {k: np.concatenate(v) for k, v in out.items()}
 
-    columns = ("kind", "slot", *names)
+    columns = ("kind", "hash", *names)
     rows = over_batches(level, f, ", ".join(f"{c} long" for c in columns), pa.schema([(c, pa.int64()) for c in columns]))
-    got = rows.groupBy("kind", "slot").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
+    got = rows.groupBy("kind", "hash").agg(*(F.sum(c).alias(c) for c in names)).toArrow()
     kind = got["kind"].to_numpy()
-    return [(got["slot"].to_numpy()[kind == k], np.stack([got[c].to_numpy()[kind == k] for c in names]).astype(np.float64)) for k in (0, 1)]
+    return [(got["hash"].to_numpy()[kind == k].view(np.uint64), np.stack([got[c].to_numpy()[kind == k] for c in names]).astype(np.float64)) for k in (0, 1)]
 
 
-def fit_counts(labelled: DataFrame) -> Model:
-    """The two models from every row of `labelled` (text, toxic 0 or 1). Counts are distributed; the driver gets hashed tables of a fixed size."""
-    words, at = cut(_counts(labelled), "words")
-    spark = labelled.sparkSession
+def fit_counts(words: DataFrame) -> Model:
+    """The two models from words' counts (word, toxic, ordinary). Counts are distributed; the driver gets tables with a row of some dozens of bytes for each distinct gram of the labelled texts, and sends them to the executors."""
+    spark = words.sparkSession
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20_000)
     gram, left = {}, {}
     level, path = cut(_gram_counts(words), "grams")
-    discard(spark, at)
     for n in range(ORDER, 0, -1):
         if n < ORDER:  # below the highest order a gram counts once for each distinct longer one that it ends
             shorter = level.groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.sum((F.col("toxic") > 0).cast("long")).alias("toxic"), F.sum((F.col("ordinary") > 0).cast("long")).alias("ordinary"))
             if n <= SHARED:
                 both = F.col("toxic") + F.col("ordinary") if n == SHARED else F.greatest("toxic", "ordinary")
                 shorter = shorter.select("gram", both.alias("toxic"), both.alias("ordinary"))
-            before = path
+            longer = path
             level, path = cut(shorter, "grams")
-            discard(spark, before)
-        size = 1 << SLOT_BITS[n]
-        (g, x), (c, y) = _slot_counts(level, n)
-        gram[n], left[n] = np.zeros((2, size), np.float32), np.zeros((4, size), np.float32)
-        gram[n][:, g] = x[:2] - DISCOUNT * x[2:]
-        left[n][2:, c] = y[:2]
+            discard(spark, longer)
+        (g, x), (c, y) = _hash_counts(level, n)
+        gram[n] = Table(g, x[:2] - DISCOUNT * x[2:], (0, 0))
         # the mass that discounts leave to the next lower order; all of it where a context is unknown
-        left[n][:2] = 1
-        left[n][:2, c] = np.where(y[:2] > 0, DISCOUNT * y[2:] / np.maximum(y[:2], 1), 1)
+        left[n] = Table(c, np.concatenate([np.where(y[:2] > 0, DISCOUNT * y[2:] / np.maximum(y[:2], 1), 1), y[:2]]), (1, 1, 0, 0))
     discard(spark, path)
-    small_batches(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
     return Model(gram, left)
 
 
@@ -252,23 +269,33 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 60
 def fit(docs: DataFrame, labels: DataFrame, calibrate_rows: int = 20_000) -> Model:
     """A model from docs whose crc32(doc_id as text) mod 3 is not 1 and that `labels` marks toxic 0 or 1.
 
-    A quarter of these rows (by a hash of doc_id), at most `calibrate_rows`, fix the scale of scores and give no counts; all
-    others give counts. Null labels and texts are left out. With one class only, every score is that class's; with none, 0.
+    Up to a quarter of these rows (by a hash of doc_id), at most `calibrate_rows`, fix the scale of scores, judged by counts of all others; then
+    every row gives counts. Null labels and texts are left out; of labels that repeat a doc_id the largest counts, and texts that repeat one all have its label.
+    With one class only, every score is that class's; with none, or an empty table, 0.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     marks = labels.where("toxic is not null").groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("toxic"))
     marks = marks.where("crc32(cast(doc_id as string)) % 3 <> 1")
     texts = docs.select("doc_id", "text").where("text is not null and crc32(cast(doc_id as string)) % 3 <> 1")
     order = F.xxhash64("doc_id", F.lit(8))
-    aside = F.pmod(order, F.lit(4)) == 0
     n = {r.toxic: r["count"] for r in marks.groupBy("toxic").count().collect()}
     if len(n) < 2:
         share = float(n.get(1, 0) > 0)
         return Model({}, {}, (30.0 * (2 * share - 1),))
+    few, at = cut(marks.where(F.pmod(order, F.lit(4)) == 0).withColumn("order", order).orderBy("order", "doc_id").limit(calibrate_rows), "few")
+    last = few.agg(F.max("order")).first()[0]
+    aside = (F.pmod(order, F.lit(4)) == 0) & (order <= (F.lit(last) if last is not None else F.lit(-(1 << 63))))
     # one way of joining at every size: neither side is bounded
-    model = fit_counts(texts.where(~aside).join(marks.hint("merge"), "doc_id").select("text", "toxic"))
-    few = marks.where(aside).orderBy(order, "doc_id").limit(calibrate_rows)  # so few that each executor can have them
-    seen = features(texts.where(aside).join(F.broadcast(few), "doc_id"), model, ("toxic",)).toPandas()
+    words, words_at = cut(_counts(texts.join(marks.hint("merge"), "doc_id").select("text", "toxic", aside.alias("aside"))), "words")
+    rest = words.select("word", (F.col("toxic") - F.col("toxic_aside")).alias("toxic"), (F.col("ordinary") - F.col("ordinary_aside")).alias("ordinary"))
+    part = fit_counts(rest.where("toxic + ordinary > 0"))
+    one = few.select("doc_id", "toxic")  # so few that each executor can have them
+    # one row an id, so that ids that stand on many rows send no more than calibrate_rows to the driver
+    judged = features(texts.where(aside).join(F.broadcast(one), "doc_id"), part, ("doc_id", "toxic"))
+    seen = judged.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), *(F.min(n).alias(n) for n in FEATURES)).toPandas()
+    model = fit_counts(words.select("word", "toxic", "ordinary"))
+    discard(spark, at, words_at)
     if seen["toxic"].nunique() == 2:
         w = _logistic(seen[list(FEATURES)].to_numpy(), seen["toxic"].to_numpy(float))
     else:

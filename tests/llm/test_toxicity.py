@@ -1,5 +1,7 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 from terrace.llm import toxicity
 from tests.llm.conftest import ODD_TEXTS
@@ -49,8 +51,74 @@ def test_few_or_no_labels(spark, docs):
     assert toxicity.score(docs([]), toxicity.fit(frame, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
 
 
-def test_probabilities_of_a_model_sum_to_less_than_one(spark, docs):
+def _plain(counts, order=6, shared=3, discount=0.75):
+    """Interpolated Kneser-Ney of letters by dictionaries: word -> log P(word | toxic) - log P(word | ordinary). counts: word -> (toxic, ordinary)."""
+    levels = {}
+    top = [Counter(), Counter()]
+    for word, n in counts.items():
+        marked = "\x02" * (order - 1) + word + "\x03"
+        for i in range(len(word) + 1):
+            for c in (0, 1):
+                top[c][marked[i : i + order]] += n[c]
+    levels[order] = [+c for c in top]
+    for n in range(order - 1, 0, -1):
+        lower = [Counter(g[1:] for g in c) for c in levels[n + 1]]
+        if n == shared:
+            lower = [lower[0] + lower[1]] * 2
+        levels[n] = lower
+    totals = {n: [(Counter(), Counter()) for _ in (0, 1)] for n in levels}
+    for n, both in levels.items():
+        for c in (0, 1):
+            for g, k in both[c].items():
+                totals[n][c][0][g[:-1]] += k
+                totals[n][c][1][g[:-1]] += 1
+
+    def chance(c, gram):
+        p = 1e-5
+        for n in range(1, order + 1):
+            g = gram[order - n :]
+            total, kinds = (x[g[:-1]] for x in totals[n][c])
+            k = levels[n][c][g]
+            p = (k - discount * (k > 0)) / max(total, 1) + (discount * kinds / total if total else 1) * p
+        return p
+
+    def ratio(word):
+        marked = "\x02" * (order - 1) + word + "\x03"
+        return sum(math.log(chance(0, marked[i : i + order]) / chance(1, marked[i : i + order])) for i in range(len(word) + 1))
+
+    return ratio
+
+
+def test_ratios_against_plain_kneser_ney(spark, docs):
     texts, marks = _corpus(200, 9)
-    rows = docs(texts, toxic=marks)
-    model = toxicity.fit_counts(rows.select("text", "toxic"))
+    texts[0] += " \u00fcnter \u65e5\u672c"
+    counts = {}
+    for text, toxic in zip(texts, marks):
+        for w in toxicity.words_of(text):
+            n = counts.setdefault(w, [0, 0])
+            n[1 - toxic] += 1
+    model = toxicity.fit_counts(spark.createDataFrame([(w, t, o) for w, (t, o) in counts.items()], "word string, toxic long, ordinary long"))
+    plain = _plain(counts)
+    asked = [*list(counts)[:200], "grumpflax", "grump", "unseen", "\u65e5", "x"]
+    for word, got in zip(asked, model.ratios(asked)):
+        assert abs(got - plain(word)) < 1e-3 * max(1, abs(plain(word))), word
     assert model.ratios(["grumpflax"])[0] > 3 > model.ratios(["bado"])[0]
+
+
+def test_every_labelled_row_gives_counts(spark, docs):
+    texts, marks = _corpus(900, 4)
+    # a word of one toxic row alone, whichever part it falls into, is known afterwards
+    texts = [t + f" zoq{k}zoq" * 3 if m else t for k, (t, m) in enumerate(zip(texts, marks))]
+    labels = spark.createDataFrame(list(enumerate(marks)), "doc_id long, toxic int")
+    model = toxicity.fit(docs(texts), labels)
+    seen = [f"zoq{k}zoq" for k, m in enumerate(marks) if m and zlib.crc32(str(k).encode()) % 3 != 1]
+    assert (model.ratios(seen) > 3).all()
+
+
+def test_very_long_texts_ties_and_an_empty_table(spark, docs):
+    texts, marks = _corpus(300, 6)
+    model = toxicity.fit(docs(texts), spark.createDataFrame(list(enumerate(marks)) + list(enumerate(marks)), "doc_id long, toxic int"))
+    frame = docs(["bado " * 300_000, "bado " * 10, "bado " * 10, texts[1] + " grumpflax" * 40], ids=[1, 2, 2, None])
+    got = sorted(toxicity.score(frame, model).collect(), key=lambda r: r.doc_id or 0)
+    assert [r.predicted for r in got] == [1, 0, 0, 0] and got[2].score == got[3].score
+    assert toxicity.drop_toxic(docs([]), model).count() == 0
