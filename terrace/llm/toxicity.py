@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import uuid
 from collections import Counter
+from collections.abc import Iterable
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -78,8 +79,8 @@ class Table:
         mixed = self._mixed(hashes)
         order = np.argsort(mixed)
         self.keys = mixed[order]
-        # the last column is that of unknown keys
-        self.values = np.concatenate([values[:, order], np.array(unknown)[:, None]], axis=1).astype(np.float32)
+        # a row for each key, the last that of unknown keys
+        self.values = np.concatenate([values[:, order].T, [unknown]]).astype(np.float32)
         self.shift = np.uint64(64 - max(1, len(hashes).bit_length()))
         slots = np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.uint64)
         self.starts = np.searchsorted(self.keys >> self.shift, slots).astype(np.int32)
@@ -89,19 +90,20 @@ class Table:
         return (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
 
     def __getitem__(self, hashes: np.ndarray) -> np.ndarray:
-        """A column of values for each hash."""
+        """A row of values for each hash."""
         h = self._mixed(hashes)
-        slot = (h >> self.shift).astype(np.int64)
-        at, end, found = self.starts[slot], self.starts[slot + 1], np.full(len(h), -1)
+        slot = (h >> self.shift).view(np.int64)
+        at, end = self.starts[slot], self.starts[slot + 1]
+        found = np.full(len(h), len(self.keys))
         open_ = np.flatnonzero(at < end)
+        at, end, h = at[open_], end[open_], h[open_]
         while len(open_):
-            place = at[open_]
-            hit = self.keys[place] == h[open_]
-            found[open_[hit]] = place[hit]
-            open_ = open_[~hit]
-            at[open_] += 1
-            open_ = open_[at[open_] < end[open_]]
-        return self.values[:, found]
+            hit = self.keys[at] == h
+            found[open_[hit]] = at[hit]
+            at += 1
+            on = ~hit & (at < end)
+            open_, at, end, h = open_[on], at[on], end[on], h[on]
+        return self.values.take(found, axis=0)
 
 
 @dataclass
@@ -126,11 +128,14 @@ class Model:
     def ratios(self, words: list[str]) -> np.ndarray:
         """log P(word | toxic) - log P(word | ordinary), by interpolated Kneser-Ney; orders up to SHARED are the same for both."""
         grams, word = _grams(words)
-        p = np.full((2, len(word)), 1e-5)
+        p, known = np.full((len(word), 2), 1e-5), np.arange(len(word))
         for n in range(1, ORDER + 1):
-            share, left = self.gram[n][grams[n][0]], self.left[n][grams[n][1]]
-            p = share / np.maximum(left[2:], 1) + left[:2] * p
-        return np.bincount(word, np.log(p[0] / p[1]), minlength=len(words))
+            left = self.left[n][grams[n][1][known]]
+            # a context that neither class knows leaves all to the lower order, and is in no longer one
+            seen = left[:, 2:].any(axis=1)
+            known, left = known[seen], left[seen]
+            p[known] = self.gram[n][grams[n][0][known]] / np.maximum(left[:, 2:], 1) + left[:, :2] * p[known]
+        return np.bincount(word, np.log(p[:, 0] / p[:, 1]), minlength=len(words))
 
 
 def _counts(docs: DataFrame) -> DataFrame:
@@ -218,8 +223,7 @@ def features(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
     shared = model.share(docs.sparkSession)
 
     def f(b: dict[str, list]) -> dict[str, list]:
-        known = _known(shared.value.name)
-        found = [_features(t, shared.value, known) for t in b["text"]]
+        found = _features(b["text"], shared.value)
         return {**{k: b[k] for k in keep}, **{n: [x[i] for x in found] for i, n in enumerate(FEATURES)}}
 
     kinds = {k: t for k, t in docs.dtypes}
@@ -241,14 +245,18 @@ def _known(name: str) -> dict[str, float]:
     return _by_model[name]
 
 
-def _features(text: str | None, model: Model, known: dict[str, float]) -> tuple[float, ...]:
-    words = words_of(text)
-    if not words:
+def _features(texts: Iterable[str | None], model: Model) -> list[tuple[float, ...]]:
+    """FEATURES of each text; words that the worker doesn't know yet are judged at once."""
+    known, each = _known(model.name), [words_of(t) for t in texts]
+    new = list({w for words in each for w in words if w not in known})
+    for k in range(0, len(new), 20_000):
+        known.update(zip(new[k : k + 20_000], model.ratios(new[k : k + 20_000]).tolist()))
+    return [_of_ratios(np.fromiter(map(known.__getitem__, words), np.float64, len(words))) for words in each]
+
+
+def _of_ratios(r: np.ndarray) -> tuple[float, ...]:
+    if not len(r):
         return 0.0, 0.0, _NONE, _NONE, _NONE
-    if new := [w for w in dict.fromkeys(words) if w not in known]:
-        for k in range(0, len(new), 20_000):
-            known.update(zip(new[k : k + 20_000], model.ratios(new[k : k + 20_000]).tolist()))
-    r = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
     total = np.concatenate([[0.0], r.cumsum()])
     begin = np.arange(0, max(1, len(r) - PASSAGE // 2), PASSAGE // 2)
     sums = total[np.minimum(begin + PASSAGE, len(r))] - total[begin]
@@ -336,8 +344,7 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
 
     @F.pandas_udf(", ".join(f"{n} double" for n in FEATURES))
     def judged(text: pd.Series) -> pd.DataFrame:
-        known = _known(shared.value.name)
-        return pd.DataFrame([_features(t, shared.value, known) for t in text], columns=list(FEATURES))
+        return pd.DataFrame(_features(text, shared.value), columns=list(FEATURES))
 
     names = [F.col("_own").getField(c).alias(c) for c in docs.columns]
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_own"), judged("text").alias("_judged"))
