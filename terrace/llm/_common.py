@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -10,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes in an Arrow batch. Both are bounds on the memory of a Python worker, not on what is read.
-BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +27,11 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share, from spark.checkpoint.dir. Only where it is unset, as in tests on one machine, a temporary one."""
+    """The folder that all executors share, from spark.checkpoint.dir. Only where it is unset on a single machine, as in tests, a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='terrace-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -47,10 +52,29 @@ def discard(spark: SparkSession, *paths: str) -> None:
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
+class _Worker:
+    """The operator that keeps things in this Python worker. Workers live longer than an operator's tasks."""
+
+    module: str | None = None
+
+
+def settle(module: str) -> None:
+    """From here on this Python worker works for the operator in `module`: what the one before has kept goes, by its module's forget(), and its memory is given back."""
+    if _Worker.module not in (None, module):
+        getattr(sys.modules.get(_Worker.module), "forget", lambda: None)()
+        gc.collect()
+        if sys.platform == "linux":
+            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+    _Worker.module = module
+
+
 def over_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list] | None], schema: str, arrow: pa.Schema) -> DataFrame:
     """df's rows through f, one bounded batch of Python lists at a time."""
 
+    module = f.__module__
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        settle(module)
         for b in batches:
             if b.num_rows and (out := f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})) is not None:
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)

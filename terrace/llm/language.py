@@ -196,3 +196,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
     arrow = pa.schema([("doc_id", pa.int64()), ("lang_pred", pa.string()), ("score", pa.float64()), ("rejected", pa.bool_())])
     found = over_batches(docs.select("doc_id", "text"), f, "doc_id long, lang_pred string, score double, rejected boolean", arrow)
     return found.select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "lang_pred", "score", "rejected")
+
+
+def forget() -> None:
+    _by_model.clear()

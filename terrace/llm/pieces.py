@@ -228,3 +228,7 @@ def encode_digests(docs: DataFrame, model: str) -> DataFrame:
 
     text = pa.string()
     return over_batches(docs.select("doc_id", "text"), f, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("ids_sha256", text), ("decoded_sha256", text)]))
+
+
+def forget() -> None:
+    load.cache_clear()

@@ -15,7 +15,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from terrace.llm._common import cut, discard, over_batches, small_batches
+from terrace.llm._common import cut, discard, over_batches, settle, small_batches
 
 #: The models' order in letters, and the highest order at which the two classes share their counts.
 ORDER, SHARED = 6, 3
@@ -25,8 +25,10 @@ DISCOUNT = 0.75
 FEATURES = ("mean", "peak", "over1", "over2", "over3")
 #: Words in a passage; passages overlap by half.
 PASSAGE = 24
+#: Letters of text whose words are judged at once.
+_AT_ONCE = 1 << 20
 #: Words whose ratios a worker keeps; a bound on memory alone.
-_KEPT = 500_000
+_KEPT = 300_000
 
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(r"\w+").findall
@@ -247,11 +249,22 @@ def _known(name: str) -> dict[str, float]:
 
 def _features(texts: Iterable[str | None], model: Model) -> list[tuple[float, ...]]:
     """FEATURES of each text; words that the worker doesn't know yet are judged at once."""
-    known, each = _known(model.name), [words_of(t) for t in texts]
-    new = list({w for words in each for w in words if w not in known})
-    for k in range(0, len(new), 20_000):
-        known.update(zip(new[k : k + 20_000], model.ratios(new[k : k + 20_000]).tolist()))
-    return [_of_ratios(np.fromiter(map(known.__getitem__, words), np.float64, len(words))) for words in each]
+    texts, out = [t or "" for t in texts], []
+    begin, room = 0, 0
+    for i, t in enumerate(texts):
+        room += len(t)
+        if room >= _AT_ONCE or i == len(texts) - 1:
+            known, each = _known(model.name), [words_of(t) for t in texts[begin : i + 1]]
+            new = list({w for words in each for w in words if w not in known})
+            for k in range(0, len(new), 20_000):
+                known.update(zip(new[k : k + 20_000], model.ratios(new[k : k + 20_000]).tolist()))
+            out += [_of_ratios(np.fromiter(map(known.__getitem__, words), np.float64, len(words))) for words in each]
+            begin, room = i + 1, 0
+    return out
+
+
+def forget() -> None:
+    _by_model.clear()
 
 
 def _of_ratios(r: np.ndarray) -> tuple[float, ...]:
@@ -340,10 +353,11 @@ def drop_toxic(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFra
     small_batches(docs.sparkSession)
     if not model.gram:
         return docs if _chance_at_rest(model) < threshold else docs.where("false")
-    shared = model.share(docs.sparkSession)
+    shared, module = model.share(docs.sparkSession), __name__
 
     @F.pandas_udf(", ".join(f"{n} double" for n in FEATURES))
     def judged(text: pd.Series) -> pd.DataFrame:
+        settle(module)
         return pd.DataFrame(_features(text, shared.value), columns=list(FEATURES))
 
     names = [F.col("_own").getField(c).alias(c) for c in docs.columns]

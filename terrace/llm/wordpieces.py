@@ -109,3 +109,7 @@ def token_counts(docs: DataFrame, vocabulary: str) -> DataFrame:
 
     names = ("doc_id", "n_words", "n_tokens", "n_unknown")
     return over_batches(docs.select("doc_id", "text"), f, ", ".join(f"{n} long" for n in names), pa.schema([(n, pa.int64()) for n in names]))
+
+
+def forget() -> None:
+    load.cache_clear()
