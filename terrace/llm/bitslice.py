@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import heapq
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Rows of a block of the index; queries of a block of queries, and the least number of those.
-BLOCK_ROWS, QUERY_ROWS, QUERY_BLOCKS = 8_192, 1_024, 8
-#: Components beyond this leave no room for an exact score in a long.
+#: Rows of a block of the index, queries of a block of queries, and the least number of pairs of blocks.
+BLOCK_ROWS, QUERY_ROWS, PAIRS = 8_192, 16_384, 16
+#: Vectors with a component of this size or more are scored by whole numbers of any length, not by slices.
 MOST = 1 << 27
+_LEAST_LONG, _MOST_LONG = -(1 << 63), (1 << 63) - 1
 
 
 def finite(v: Column) -> Column:
@@ -64,15 +67,15 @@ class Index:
             w += 1
         return out
 
-    def top(self, query: np.ndarray, k: int, but: int | None = None) -> np.ndarray:
-        """Places of the k rows with the largest inner products, of equal ones the first; `but`: a place that is left out.
+    def top(self, query: np.ndarray, k: int, but: np.ndarray | tuple[int, ...] = ()) -> np.ndarray:
+        """Places of the k rows with the largest inner products, of equal ones the first; `but`: places that are left out.
 
         From the most significant slice down, rows are certain once those with the bit set fit in; what remains open after the last
         slice has one score, and its first rows fill up.
         """
         sure, open_ = np.zeros(self.words, np.uint64), self.valid.copy()
-        if but is not None:
-            open_[but // 64] &= ~np.uint64(1 << (but % 64))
+        for place in but:
+            open_[place // 64] &= ~np.uint64(1 << (int(place) % 64))
         have = 0
         for s in reversed(self.sums(query)):
             more = open_ & s
@@ -88,41 +91,57 @@ class Index:
 
 
 def _rows(x: pd.DataFrame, scale: float) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, integer vectors), by id; of rows that repeat an id, the one with the smallest vector."""
-    ids = x["vec_id"].to_numpy(np.int64)
-    v = np.floor(scale * np.stack(x["v"].to_numpy()).astype(np.float64)).astype(np.int64)
-    order = np.lexsort((*v.T[::-1], ids))
-    ids, v = ids[order], v[order]
-    first = np.diff(ids, prepend=ids[:1] - 1) != 0
-    return ids[first], v[first]
+    """(ids, vectors of whole numbers as doubles), by id."""
+    x = x.sort_values("vec_id", kind="stable")
+    with np.errstate(over="ignore"):
+        return x["vec_id"].to_numpy(np.int64), np.floor(scale * np.stack(x["v"].to_numpy()).astype(np.float64))
+
+
+def _whole(x: np.ndarray) -> list[list[int]]:
+    """Whole numbers of any length; an infinite one, of a component that overflows when scaled, counts as the largest double."""
+    return [[int(c) for c in row] for row in np.nan_to_num(x).tolist()]
+
+
+def _best(queries: np.ndarray, w: np.ndarray, ids: np.ndarray, v: np.ndarray, k: int) -> list[np.ndarray]:
+    """(query_id, vec_id, score) columns of each query's k best rows, by whole numbers of any length."""
+    out, rows = [], _whole(v)
+    for query_id, query in zip(queries.tolist(), _whole(w)):
+        scores = [(-sum(a * b for a, b in zip(query, row)), i) for i, row in zip(ids.tolist(), rows) if i != query_id]
+        out += [np.array([[query_id], [i], [min(max(-s, _LEAST_LONG), _MOST_LONG)]], np.int64) for s, i in heapq.nsmallest(k, scores)]
+    return out
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64.0) -> DataFrame:
     """(query_id, rank, vec_id, score): for each query its k largest inner products of floor(scale * x), ties to the smaller vec_id.
 
-    vectors: vec_id, embedding. Candidates are all rows but the query's own; fewer give fewer. Exact: every block of rows is indexed
+    vectors: vec_id, embedding. Candidates are all rows with another vec_id; fewer give fewer. Exact: every block of rows is indexed
     and asked by every block of queries, and the blocks' best are ranked together; no block pair needs more than its bounded rows.
-    Vectors that are null or empty, or hold null or non-finite components, take no part; nor do those with a component beyond MOST in size
-    after scaling. Vectors of unlike lengths aren't compared. Rows that repeat a vec_id are one, with the smallest vector. Other columns
-    are ignored. An empty table gives an empty result.
+    Vectors that are null or empty, or hold null or non-finite components, take no part. Those with a component of MOST or more after scaling
+    are scored apart by whole numbers of any length; a score beyond a long's range is given as its end. Vectors of unlike
+    lengths aren't compared. Each row that repeats a vec_id is a candidate of its own; the rows of a repeated query id give its k best together.
+    Other columns are ignored. An empty table gives an empty result.
     """
-    rows = vectors.select("vec_id", F.col("embedding").alias("v"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & finite(F.col("embedding")))
-    rows = rows.where(F.forall("v", lambda x: F.abs(x.cast("double") * scale) < float(MOST))).withColumn("dim", F.size("v"))
+    rows = vectors.select("vec_id", F.col("embedding").alias("v"), is_query.alias("asks")).where(F.col("vec_id").isNotNull() & finite(F.col("embedding"))).withColumn("dim", F.size("v"))
     n, q = rows.agg(F.count("*"), F.count_if("asks")).first()
-    blocks, parts = max(1, -(-n // BLOCK_ROWS)), max(QUERY_BLOCKS, -(-q // QUERY_ROWS))
-    block, part = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
+    blocks = max(1, -(-n // BLOCK_ROWS))
+    parts = max(1, -(-q // QUERY_ROWS), -(-PAIRS // blocks))
+    block, part = F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(parts)).cast("int")
     held = rows.select("vec_id", "v", "dim", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     asked = rows.where("asks").select("vec_id", "v", "dim", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), part.alias("part"))
 
     def answer(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(held) and len(asked):
-            ids, v = _rows(held, scale)
-            queries, w = _rows(asked, scale)
-            index = Index(v)
-            for query_id, query in zip(queries.tolist(), w):
-                at = int(np.searchsorted(ids, query_id))
-                best = index.top(query, k, at if at < len(ids) and ids[at] == query_id else None)
+            (ids, v), (queries, w) = _rows(held, scale), _rows(asked, scale)
+            few, plain = np.abs(v).max(axis=1) < MOST, np.abs(w).max(axis=1) < MOST
+            out += _best(queries[~plain], w[~plain], ids, v, k)
+            if not few.all():
+                out += _best(queries[plain], w[plain], ids[~few], v[~few], k)
+            ids, v, queries, w = ids[few], v[few].astype(np.int64), queries[plain], w[plain].astype(np.int64)
+            index = Index(v) if len(v) else None
+            for query_id, query in zip(queries.tolist(), w) if index else ():
+                own = range(*np.searchsorted(ids, [query_id, query_id + 1]).tolist())
+                best = index.top(query, k, own)
                 out.append(np.stack([np.full(len(best), query_id), ids[best], v[best] @ query]))
         found = np.concatenate(out, axis=1) if out else np.zeros((3, 0), np.int64)
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), found)))

@@ -82,5 +82,39 @@ def test_top_k_against_all_pairs(frame):
 
 def test_top_k_without_rows_and_with_repeats(frame):
     assert bitslice.top_k(frame([]), F.col("vec_id") % 20 == 0).count() == 0
-    rows = [(0, [1.0], 0), (0, [1.0], 0), (1, [0.5], 0), (1, [0.5], 0)]
-    assert [tuple(r) for r in bitslice.top_k(frame(rows), F.col("vec_id") % 20 == 0).collect()] == [(0, 1, 1, 2048)]
+    asked = lambda rows, **k: [tuple(r) for r in bitslice.top_k(frame(rows), F.col("vec_id") % 20 == 0, **k).orderBy("query_id", "rank").collect()]
+    rows = [(0, [1.0], 0), (1, [0.5], 0), (1, [0.9], 0), (1, [0.9], 0)]
+    assert asked(rows) == [(0, 1, 1, 57 * 64), (0, 2, 1, 57 * 64), (0, 3, 1, 2048)]
+    # each row of a repeated query id asks, none is its own candidate
+    assert asked([(0, [1.0], 0), (0, [2.0], 0), (1, [0.5], 0)]) == [(0, 1, 1, 4096), (0, 2, 1, 2048)]
+
+
+def test_top_k_of_large_components(frame):
+    rows = [(0, [1.0, 0.0], 0), (1, [1e9, 1.0], 0), (2, [-1e9, 1.0], 0), (3, [2.0, 0.0], 0), (20, [1e9, -3e38], 0)]
+    big = int(np.floor(64 * float(np.float32(1e9))))
+    got = {(r.query_id, r.rank): (r.vec_id, r.score) for r in bitslice.top_k(frame(rows), F.col("vec_id") % 20 == 0, k=3).collect()}
+    assert [got[0, r] for r in (1, 2, 3)] == [(1, 64 * big), (20, 64 * big), (3, 64 * 128)]
+    assert [got[20, r] for r in (1, 2, 3)] == [(3, 128 * big), (0, 64 * big), (1, -(1 << 63))]
+
+
+def test_a_repeated_id_has_links_of_each_row_alone(frame):
+    a, b = [1.0, 0.0], [0.0, 1.0]
+    got = embeddings.near_duplicates(frame([(5, a, 1), (5, b, 1), (7, [1.0, 0.1], 1), (8, [0.1, 1.0], 1)])).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(5, 1, 5), (5, 1, 5), (7, 1, 5), (8, 1, 5)]
+
+
+def test_isolated_pairs_in_a_dense_label_are_found(frame):
+    rng = np.random.default_rng(5)
+    dim, n, pairs = 32, 3000, 60
+    centre = rng.standard_normal(dim)
+    centre /= np.linalg.norm(centre)
+    draw = lambda n: rng.standard_normal((n, dim)) / np.sqrt(dim)
+    own = draw(n)
+    own[:pairs] = own[pairs : 2 * pairs] + 0.55 * draw(pairs)
+    x = (np.sqrt(0.8) * centre + np.sqrt(0.2) * own).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    alike = unit @ unit.T >= 0.93
+    np.fill_diagonal(alike, False)
+    got = {r.vec_id: r.n_links for r in embeddings.near_duplicates(frame([(i, v.tolist(), 0) for i, v in enumerate(x)])).collect()}
+    assert pairs <= alike.sum() and sum(got.values()) >= 0.9 * alike.sum()
+    assert all(got[i] <= alike[i].sum() for i in range(n))
