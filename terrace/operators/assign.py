@@ -2,18 +2,48 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from terrace.functions.boxes import area, range_join, shared_area
+from terrace.functions.boxes import SIDES, area, range_join, shared_area
+from terrace.functions.kernel import dumped, register, st, with_box
+
+
+def _measured(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[str, str], Column]]:
+    """Both layers' parts with their boxes, and what two parts a and b share.
+
+    Polygons (WKB in `geom`) are taken apart, and share square metres of an equal-area projection; boxes only sort out which parts can meet. Layers of
+    boxes alone share their boxes' area. Where one layer has polygons the other's boxes become polygons too.
+    """
+    if not any("geom" in x.columns for x in (left, right)):
+        return left, right, shared_area
+    register(left.sparkSession)
 
+    def parts(x: DataFrame) -> DataFrame:
+        return with_box(dumped(x.drop(*SIDES)) if "geom" in x.columns else x.withColumn("geom", st("makeenvelope", *SIDES)))
 
-def overlaps(left: DataFrame, right: DataFrame, measure=shared_area) -> DataFrame:
-    """(a_fid, b_fid, shared_area) over all parts: columns fid and a box for each part; sums of what parts share, none where that is nothing."""
-    met = range_join(left, right).withColumn("shared", measure("a", "b")).where("shared > 0")
+    return parts(left), parts(right), lambda a, b: st("area_m2", st("intersection", f"{a}.geom", f"{b}.geom"))
+
+
+def overlaps(left: DataFrame, right: DataFrame) -> DataFrame:
+    """(a_fid, b_fid, shared_area) over all parts: layers have fid and `geom`, or a box for each part; sums of what parts share, none where that is nothing."""
+    left, right, shared = _measured(left, right)
+    met = range_join(left, right).withColumn("shared", shared("a", "b")).where("shared > 0")
     return met.groupBy(F.col("a.fid").alias("a_fid"), F.col("b.fid").alias("b_fid")).agg(F.sum("shared").alias("shared_area"))
 
 
+def _sizes(layer: DataFrame, polygons: bool, name: str) -> DataFrame:
+    """(<name>_fid, <name>_area): each unit's area over its parts, in the measure of overlaps()."""
+    if polygons:
+        register(layer.sparkSession)
+        size = st("area_m2", "geom" if "geom" in layer.columns else st("makeenvelope", *SIDES))
+    else:
+        size = area("u")
+    return layer.select("fid", F.struct(*layer.columns).alias("u"), *(["geom"] if "geom" in layer.columns else SIDES)).groupBy(F.col("fid").alias(f"{name}_fid")).agg(F.sum(size).alias(f"{name}_area"))
+
+
 def assign_many(inputs: DataFrame, overlay: DataFrame, match: tuple[str, str] | None = None) -> DataFrame:
     """Each input's overlay unit: the one it shares most area with, the lowest of equals; inputs that share nothing are left out.
 
@@ -39,7 +69,8 @@ def unassigned(inputs: DataFrame, assigned: DataFrame) -> DataFrame:
 
 def assign_one(inputs: DataFrame, overlay: DataFrame) -> DataFrame:
     """(source_file, overlay_fid): for each file the overlay unit that most of its units meet, the lowest of equals."""
-    met = range_join(inputs, overlay).where(shared_area("a", "b") > 0)
+    inputs, overlay, shared = _measured(inputs, overlay)
+    met = range_join(inputs, overlay).where(shared("a", "b") > 0)
     votes = met.groupBy(F.col("a.source_file").alias("source_file"), F.col("b.fid").alias("overlay_fid")).agg(F.count_distinct("a.fid").alias("votes"))
     best = Window.partitionBy("source_file").orderBy(F.desc("votes"), "overlay_fid")
     return votes.withColumn("r", F.row_number().over(best)).where("r = 1").select("source_file", "overlay_fid")
@@ -62,8 +93,8 @@ def schema_join(layer: DataFrame, other: DataFrame, columns: list[str], min_over
     pairs = overlaps(layer, other)
     best = pairs.withColumn("r", F.row_number().over(Window.partitionBy("a_fid").orderBy(F.desc("shared_area"), "b_fid"))).where("r = 1").drop("r")
     theirs = other.select(F.col("fid").alias("b_fid"), *(F.col(c).alias(f"_j_{c}") for c in columns)).dropDuplicates(["b_fid"])
-    own = layer.withColumn("_area", (F.col("xmax") - F.col("xmin")) * (F.col("ymax") - F.col("ymin")))
-    rows = own.join(best.join(theirs, "b_fid", "left"), own["fid"] == best["a_fid"], "left").withColumn("overlap_share", F.col("shared_area") / F.col("_area"))
+    sizes = _sizes(layer, "geom" in layer.columns or "geom" in other.columns, "a")
+    rows = layer.join(best.join(sizes, "a_fid").join(theirs, "b_fid", "left"), layer["fid"] == best["a_fid"], "left").withColumn("overlap_share", F.col("shared_area") / F.nullif("a_area", F.lit(0.0)))
     shared = [c for c in columns if c in layer.columns]
     differs = rows.agg(*(F.bool_or(~F.col(c).eqNullSafe(F.col(f"_j_{c}"))).alias(c) for c in shared)).first() if shared else {}
     names, taken = {}, list(layer.columns)
@@ -83,7 +114,7 @@ def schema_join(layer: DataFrame, other: DataFrame, columns: list[str], min_over
 
 def coverage_ratios(a: DataFrame, b: DataFrame) -> DataFrame:
     """(a_fid, b_fid, shared_area, coverage_a, coverage_b, iou) of two layers' overlapping units."""
-    sizes = lambda x, n: x.select("fid", F.struct(*x.columns).alias("u")).groupBy(F.col("fid").alias(f"{n}_fid")).agg(F.sum(area("u")).alias(f"{n}_area"))
-    pairs = overlaps(a, b).join(sizes(a, "a"), "a_fid").join(sizes(b, "b"), "b_fid")
+    polygons = "geom" in a.columns or "geom" in b.columns
+    pairs = overlaps(a, b).join(_sizes(a, polygons, "a"), "a_fid").join(_sizes(b, polygons, "b"), "b_fid")
     s, x, y = F.col("shared_area"), F.col("a_area"), F.col("b_area")
     return pairs.select("a_fid", "b_fid", "shared_area", (s / F.nullif(x, F.lit(0.0))).alias("coverage_a"), (s / F.nullif(y, F.lit(0.0))).alias("coverage_b"), (s / F.nullif(x + y - s, F.lit(0.0))).alias("iou"))

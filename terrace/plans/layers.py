@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from terrace.functions.kernel import register, st
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -73,6 +75,10 @@ _X, _Y = "(c_custkey * 37 % 997) / 200.0D", "(c_custkey * 53 % 991) / 200.0D"
 CUSTOMER_BOX = ("c_custkey AS fid", "concat('N', cast(c_nationkey as string)) AS code", "concat('file', cast(c_custkey % 12 as string)) AS source_file", f"{_X} AS xmin", f"{_Y} AS ymin", f"{_X} + 0.05D + (c_custkey % 4) * 0.1D AS xmax", f"{_Y} + 0.05D + (c_custkey % 3) * 0.1D AS ymax")
 
 
+#: Customers as L-shapes: a corner, a width and a height; both arms are 0.06 wide.
+L_X, L_Y, L_W, L_H = "(c_custkey * 41 % 983) / 210.0D", "(c_custkey * 59 % 977) / 210.0D", "0.2D + (c_custkey % 7) * 0.1D", "0.15D + (c_custkey % 11) * 0.07D"
+
+
 def _boxes(columns: tuple[str, ...], source: str) -> str:
     sql = ", ".join(columns).replace("cast(n_nationkey / 5 as int)", "cast(floor(n_nationkey / 5) as int)")
     return f"SELECT {sql} FROM {source}"
@@ -96,6 +102,13 @@ def customer_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").selectExpr(*CUSTOMER_BOX)
 
 
+def customer_ls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    register(spark)
+    x, y, w, h = map(F.expr, (L_X, L_Y, L_W, L_H))
+    low, side = st("makeenvelope", x, y, x + w, y + 0.06), st("makeenvelope", x, y + 0.06, x + 0.06, y + h)
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("fid"), st("union", low, side).alias("geom"))
+
+
 # Suppliers as squares in a row of three, old and new: by the key kept, shifted, renamed, split in two, joined in pairs, gone, new or moved away.
 _SX, _SY = "cast(s_suppkey % 100 * 3 as double)", "cast(floor(s_suppkey / 100) * 3 as double)"
 OLD_BOX = ("s_suppkey AS fid", "concat('S', cast(s_suppkey as string)) AS code", "s_name AS name", f"{_SX} AS xmin", f"{_SY} AS ymin", f"{_SX} + 2.0D AS xmax", f"{_SY} + 2.0D AS ymax")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from terrace.functions import text
 from terrace.functions.codes import CodeFormat, detected, parse_min_width
-from terrace.functions.hierarchy import Target, canonical_order, chosen, families, free_sibling, inserted, is_noise, levels_of, renames, sibling
+from terrace.functions.hierarchy import Target, canonical_order, chosen, families, free_sibling, further, inserted, is_noise, level_of, levels_of, renames
 from terrace.operators import assign, change, code_create, code_detect, dissolve, name_detect, package, schema_detect, schema_fill, topology
 from terrace.plans import registry
 
@@ -21,7 +21,9 @@ def layer(spark):
 
 
 def test_columns_of_hierarchies():
-    assert (sibling("name", 1), sibling("adm1", 2)) == ("name1", "adm1_2")
+    assert [next(further(c)) for c in ("name", "adm1")] == ["name1", "adm1_1"] and list(zip(further("adm1"), "ab"))[1][0] == "adm1_2"
+    assert all(map(is_noise, ("Shape_Le_1", "shape_ar_1", "SHAPE_LENG", "fid_2"))) and not any(map(is_noise, ("shape_x", "category", "shapes_1")))
+    assert (level_of("adm2_name1", "adm{n}_name"), level_of("adm2_name_1", "adm{n}_name"), level_of("code2_1", "code{n}"), level_of("code2", "code{n}")) == (2, None, 2, 2)
     assert free_sibling("name", {"name1"}) == "name2"
     assert is_noise("SHAPE_Leng") and is_noise("fid_1") and is_noise("shape__len") and not is_noise("name")
     columns = ["x", "adm1_code", "adm2_code", "adm1_name", "adm2_name", "adm2_name1", "adm2_kind"]

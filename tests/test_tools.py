@@ -43,3 +43,23 @@ def test_command_line(spark, tmp_path):
     assert report.endswith("r.csv")
     with pytest.raises(SystemExit):
         main(["change", str(tmp_path / "in.parquet")], spark)
+
+
+def test_areas_are_of_polygons_not_of_boxes(spark):
+    from terrace.operators import assign
+
+    register(spark)
+    shapes = lambda rows: spark.createDataFrame(rows, "fid long, name string, w string").select("fid", "name", st("geomfromtext", "w").alias("geom"))
+    ell = "POLYGON((0 0,10 0,10 1,1 1,1 10,0 10,0 0))"
+    layer = shapes([(1, "in the hollow", "POLYGON((4 4,6 4,6 6,4 6,4 4))"), (2, "triangle", "POLYGON((0 0,3 0,0 3,0 0))"), (3, "two parts", "MULTIPOLYGON(((0 8,1 8,1 9,0 9,0 8)),((7 7,8 7,8 8,7 8,7 7)))")])
+    other = shapes([(10, "ell", ell), (11, "square", "POLYGON((3 3,9 3,9 9,3 9,3 3))")])
+    pairs = {(r.a_fid, r.b_fid): r for r in assign.coverage_ratios(layer, other).collect()}
+    assert set(pairs) == {(1, 11), (2, 10), (3, 10), (3, 11)}
+    assert abs(pairs[1, 11].coverage_a - 1) < 1e-6 and abs(pairs[2, 10].coverage_a - 8 / 9) < 0.001
+    assert abs(pairs[3, 10].coverage_a - 0.5) < 0.01 and abs(pairs[3, 11].coverage_a - 0.5) < 0.01
+    # a square degree at the equator
+    assert abs(pairs[1, 11].shared_area / 4 - 12.3e9) < 0.1e9
+    assert {tuple(r) for r in assign.assign_many(layer, other).where("input_fid < 3").collect()} == {(1, 11), (2, 10)}
+    out, issues = assign.schema_join(layer, other, ["name"])
+    assert {r.fid: (r.name1, round(r.overlap_share, 1)) for r in out.collect()}[1] == ("square", 1.0)
+    assert {r.kind for r in issues.where("fid = 1").collect()} == {"value-mismatch"}
