@@ -39,6 +39,22 @@ TEXTS: dict[str, tuple[str, ...]] = {
     "GPL-3.0-only": ("This work is licensed under the GNU General Public License, version 3.", "SPDX-License-Identifier: GPL-3.0-only"),
     "CC-BY-NC-4.0": ("Licensed under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"),
 }
+# digest() of long public licence texts by SPDX identifier, whole and, where they have appendices, up to the end of their terms.
+DIGESTS: dict[str, tuple[str, ...]] = {
+    "Apache-2.0": ("4f8caa9a32c00fbc0b82aa9c4bec85c3", "28ebc01248a8dee857c26cb670d23345"),
+    "Artistic-1.0-Perl": ("a8b0fb0c6e43a3b36bdc159e59dbfd1e",),
+    "CC0-1.0": ("d2a76f70ce19809695b7fb93c6241c23",),
+    "GFDL-1.2-only": ("fc8fd4dca9351a1b1ba045c2a7d3d70f",),
+    "GFDL-1.3-only": ("3564867804d3e20f9506651fedbca0e9",),
+    "GPL-1.0-only": ("97008616a6c74f408568b284dd04871d", "dbf3c47f5a8f127e58d08cabc1ebb916"),
+    "GPL-2.0-only": ("bc956f44d1c84837504c207f245fa68b", "68380dbeadb093b94ecf563db7312db7"),
+    "GPL-3.0-only": ("a5c6580b91c7c81bdcc9605523100355", "444f95dc767ede978b60cfb20fbd0bca"),
+    "LGPL-2.0-only": ("6885b1a1b528de907e6c89bd80a1ea4f", "c396ba2f94537628797123bc12cd2d6e"),
+    "LGPL-2.1-only": ("79aa7998cfa6069eae71d7bea9b32641", "3054b3781b1af43f906dc753acad15ee"),
+    "LGPL-3.0-only": ("b31b7335bc37919e8cdd79154e04d88d",),
+    "MPL-1.1": ("b7edc06df79bc44a04f12befb8111960",),
+    "MPL-2.0": ("0d0c617863ffeb16c5cb1f094c2d68b2",),
+}
 # Spellings that count as the same, after letter case and punctuation are gone.
 SPELLINGS: tuple[tuple[str, str], ...] = (
     ("licence", "license"),
@@ -79,24 +95,29 @@ def digest(text: Column) -> Column:
 
 
 def known(spark: SparkSession) -> DataFrame:
-    """(digest, license) of TEXTS: some dozens of rows."""
+    """(digest, license) of TEXTS and DIGESTS: some dozens of rows."""
     rows = spark.createDataFrame([(name, t) for name, texts in TEXTS.items() for t in texts], "license string, text string")
-    return rows.select(digest(F.col("text")).alias("digest"), "license").distinct()
+    made = spark.createDataFrame([(d, name) for name, digests in DIGESTS.items() for d in digests], "digest string, license string")
+    return rows.select(digest(F.col("text")).alias("digest"), "license").unionByName(made).distinct()
 
 
-def scan(docs: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, more: DataFrame | None = None) -> DataFrame:
     """(doc_id, digest, license, notices): the licence that each entire text is, and those that single lines of it are.
 
     license: the known licence whose digest the whole text's canonical form has, or null. notices: the sorted, distinct licences
     of which an entire line is a known text, joined by commas, or null. digest is null for a null text; an empty text has the empty
     text's digest and no licence. The known texts are a constant of the code, so they are sent to every executor; documents'
     texts are not shuffled, only ids of rows with a notice. Rows that repeat a doc_id each get the notices of all of them. Other columns
-    are ignored.
+    are ignored; an empty table gives an empty result, and very long texts are only slower. `more`: further known texts (license, text), of any number; a digest of several licences gives
+    the first by name.
     """
-    table = known(docs.sparkSession)
-    whole = docs.select("doc_id", digest(F.col("text")).alias("digest")).join(F.broadcast(table), "digest", "left")
+    table, sent = known(docs.sparkSession), F.broadcast
+    if more is not None:
+        own = more.where("license is not null and text is not null").select(digest(F.col("text")).alias("digest"), "license")
+        table, sent = table.unionByName(own).groupBy("digest").agg(F.min("license").alias("license")), lambda x: x
+    whole = docs.select("doc_id", digest(F.col("text")).alias("digest")).join(sent(table), "digest", "left")
     lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", digest(F.col("line")).alias("digest"))
-    found = lines.join(F.broadcast(table), "digest").groupBy("doc_id", "license").agg(F.count("*").alias("n"))
+    found = lines.join(sent(table), "digest").groupBy("doc_id", "license").agg(F.count("*").alias("n"))
     notices = found.groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_set("license")), ",").alias("notices"))
     return whole.join(notices, "doc_id", "left").select("doc_id", "digest", "license", "notices")
 
@@ -112,7 +133,8 @@ def oracle() -> str:
         return f"md5(trim({out}))"
 
     values = ", ".join(f"({quote(name)}, {quote(t)})" for name, texts in TEXTS.items() for t in texts)
-    return f"""WITH known AS (SELECT DISTINCT {sql("text")} AS digest, license FROM (VALUES {values}) v(license, text)),
+    made = ", ".join(f"({quote(d)}, {quote(name)})" for name, digests in DIGESTS.items() for d in digests)
+    return f"""WITH known AS (SELECT {sql("text")} AS digest, license FROM (VALUES {values}) v(license, text) UNION SELECT * FROM (VALUES {made}) w(digest, license)),
 whole AS (SELECT doc_id, {sql("text")} AS digest FROM documents),
 lines AS (SELECT doc_id, {sql("line")} AS digest FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents)),
 notices AS (SELECT doc_id, string_agg(license, ',' ORDER BY license) AS notices FROM (SELECT DISTINCT doc_id, license FROM lines JOIN known USING (digest)) GROUP BY doc_id)

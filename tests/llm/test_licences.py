@@ -22,3 +22,19 @@ def test_native_plan(docs):
 def test_known_texts_are_told_apart(spark):
     rows = licences.known(spark).collect()
     assert len({r.digest for r in rows}) == len(rows)
+
+
+def test_whole_texts_of_long_licences_and_of_a_given_table(spark, docs):
+    import os
+
+    folder = "/usr/share/common-licenses"
+    long = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0-only", "GPL-3": "GPL-3.0-only", "LGPL-2.1": "LGPL-2.1-only", "MPL-2.0": "MPL-2.0"}
+    texts = {name: open(f"{folder}/{f}", encoding="utf-8").read() for f, name in long.items() if os.path.exists(f"{folder}/{f}")}
+    own = "Anyone may do anything with this, but sing."
+    rows = [*(t.upper().replace(",", " ,") for t in texts.values()), *(t + " one word more" for t in texts.values()), "ANYONE may do anything with this; but sing!", None, ""]
+    more = spark.createDataFrame([("Sing", own), ("Zing", own), (None, "x"), ("None", None)], "license string, text string")
+    got = {r.doc_id: r.license for r in licences.scan(docs(rows), more).collect()}
+    n = len(texts)
+    assert [got[k] for k in range(n)] == list(texts) and all(got[n + k] is None for k in range(n))
+    assert got[2 * n] == "Sing" and got[2 * n + 1] is None and got[2 * n + 2] is None
+    assert licences.scan(docs([])).count() == 0
