@@ -80,10 +80,12 @@ def mix(docs: DataFrame, domains: Mapping[str, tuple[str, ...]], weights: Mappin
     md5 of 'seed:epoch:doc_id', the prefix of documents that begin before the rest is used up. Every document's place follows from
     its leaf's totals and one cut-off value, found by buckets of about BUCKET_ROWS documents, so a leaf with most of the rows is
     never sorted whole, and texts are not shuffled. A null lang or source counts as 'und' or 'unknown'; null texts have no tokens.
-    Rows that repeat a doc_id share its place. Leaves without tokens, or under a weight of 0, give no rows; nor does an empty table.
+    Rows that repeat a doc_id share its place, as do rows with a null one. Texts may be long; their words are counted in place. An own column named _domain, _tokens or
+    _epoch gives way to the new one. Leaves without tokens, or under a weight of 0, give no rows; nor does an empty table.
     Weights not named are 1.
     """
     spark = docs.sparkSession
+    docs = docs.drop("_domain", "_tokens", "_epoch")
     lang, source = F.coalesce(F.col("lang"), F.lit("und")), F.coalesce(F.col("source"), F.lit("unknown"))
     leaf_columns = {"_domain": domain_of(source, domains), "_lang": lang, "_source": source}
     light = docs.select("doc_id", leaf_columns["_domain"].alias("domain"), lang.alias("lang"), source.alias("source"), n_words(F.col("text")).alias("tokens"))

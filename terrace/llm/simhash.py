@@ -142,7 +142,8 @@ def near_duplicates(docs: DataFrame, radius: int = 2, words: int = 3, shard_rows
     Exact: every pair of distinct fingerprints within the radius meets in a shard and is compared or pruned by a triangle
     bound. Copies share a fingerprint and are pre-aggregated; the tree is fitted on at most `sample_rows` distinct
     fingerprints (that sets balance only). component_id is the smallest doc_id reachable, the document's own included.
-    Null and empty texts have fingerprint 0 and link like any other. Rows that repeat a doc_id give a row each. Other
+    Null and empty texts have fingerprint 0 and link like any other; long texts are hashed in blocks. Rows that repeat a doc_id give a row each; a null
+    doc_id is a member that gives no component_id, which is null where a class has no other. Other
     columns are ignored. An empty table gives an empty result.
     """
     each, _ = cut(fingerprints(docs, words), "fp")
