@@ -62,21 +62,39 @@ def settle(module: str) -> None:
     """From here on this Python worker works for the operator in `module`: what the one before has kept goes, by its module's forget(), and its memory is given back."""
     if _Worker.module not in (None, module):
         getattr(sys.modules.get(_Worker.module), "forget", lambda: None)()
-        gc.collect()
-        if sys.platform == "linux":
-            getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+        give_back()
     _Worker.module = module
 
 
-def over_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list] | None], schema: str, arrow: pa.Schema) -> DataFrame:
-    """df's rows through f, one bounded batch of Python lists at a time."""
+def give_back() -> None:
+    """What this Python worker has freed goes back to the machine, where other workers and the JVM need it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        getattr(ctypes.CDLL(None), "malloc_trim", lambda _: None)(0)
+
 
+def in_worker(f: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """f for mapInArrow or mapInPandas, as a task of its module's operator that leaves no freed memory behind."""
     module = f.__module__
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator) -> Iterator:
         settle(module)
+        try:
+            yield from f(batches)
+        finally:
+            give_back()
+
+    return run
+
+
+def over_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, list] | None], schema: str, arrow: pa.Schema) -> DataFrame:
+    """df's rows through f, one bounded batch of Python lists at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows and (out := f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})) is not None:
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    run.__module__ = f.__module__
+    return df.mapInArrow(in_worker(run), schema)

@@ -18,7 +18,7 @@ from terrace.llm._common import over_batches, small_batches
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 #: Segments whose ids a worker keeps, and the longest that it keeps: bounds on memory alone.
-_KEPT, _KEPT_CHARS = 600_000, 48
+_KEPT, _KEPT_CHARS = 150_000, 48
 #: Stands for a control piece until bytes are joined: it has no text, but bytes on its two sides don't join.
 _BREAK = "\ud800"
 
@@ -88,7 +88,7 @@ class Pieces:
         self.ids = {p: k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds)) if kind == NORMAL}
         if not spell:
             return
-        self.fits = lru_cache(1 << 18)(self._fits)
+        self.fits = lru_cache(1 << 16)(self._fits)
         self.chars = {p for p in self.ids if len(p) == 1}
         self.auto = ahocorasick.Automaton()
         for p, k in self.ids.items():

@@ -28,7 +28,7 @@ PASSAGE = 24
 #: Letters of text whose words are judged at once.
 _AT_ONCE = 1 << 20
 #: Words whose ratios a worker keeps; a bound on memory alone.
-_KEPT = 300_000
+_KEPT = 150_000
 
 _BASE = 0x9E3779B97F4A7C15
 _WORD = re.compile(r"\w+").findall
@@ -256,8 +256,8 @@ def _features(texts: Iterable[str | None], model: Model) -> list[tuple[float, ..
         if room >= _AT_ONCE or i == len(texts) - 1:
             known, each = _known(model.name), [words_of(t) for t in texts[begin : i + 1]]
             new = list({w for words in each for w in words if w not in known})
-            for k in range(0, len(new), 20_000):
-                known.update(zip(new[k : k + 20_000], model.ratios(new[k : k + 20_000]).tolist()))
+            for k in range(0, len(new), 8_000):
+                known.update(zip(new[k : k + 8_000], model.ratios(new[k : k + 8_000]).tolist()))
             out += [_of_ratios(np.fromiter(map(known.__getitem__, words), np.float64, len(words))) for words in each]
             begin, room = i + 1, 0
     return out
@@ -315,6 +315,8 @@ def fit(docs: DataFrame, labels: DataFrame, calibrate_rows: int = 20_000) -> Mod
     # one row an id, so that ids that stand on many rows send no more than calibrate_rows to the driver
     judged = features(texts.where(aside).join(F.broadcast(one), "doc_id"), part, ("doc_id", "toxic"))
     seen = judged.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), *(F.min(n).alias(n) for n in FEATURES)).toPandas()
+    if part.shared is not None:
+        part.shared.unpersist()
     model = fit_counts(words.select("word", "toxic", "ordinary"))
     discard(spark, at, words_at)
     if seen["toxic"].nunique() == 2:
