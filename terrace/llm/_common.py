@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 #: Rows and bytes in an Arrow batch. Both are bounds on the memory of a Python worker, not on what is read.
 BATCH_ROWS, BATCH_BYTES = 1_000, 4 << 20
 
+#: Spark's setting under which a query's shuffle files are deleted when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -38,10 +41,15 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, tag: str) -> tuple[DataFrame, str]:
-    """Write df as Parquet to the shared folder and read it back: lineage ends there, and a lost executor loses nothing."""
+    """Write df as Parquet to the shared folder and read it back: lineage ends there, a lost executor loses nothing, and the write's shuffles go as it ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path), path
 
 
