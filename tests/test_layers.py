@@ -236,3 +236,10 @@ def test_codes_go_on_after_numbers_wider_than_the_width(tables):
 def test_names_that_repeat_are_numbered_by_key(tables):
     got, _ = tables("code_continue", supplier=([(k, "Same", 7, 0.0) for k in reversed(range(30))], _SUPPLIER))
     assert [x[2] for x in got] == [f"N7-{n}" for n in range(21, 41)]
+
+
+def test_low_overlap_is_told_by_the_share_that_is_reported(tables):
+    # shares of one half but for the last place
+    keys = (78633, 2139, 52695, 15983, 35455)
+    got, want = tables("schema_join_issues", customer=([(k, "", 3, 0.0, "") for k in keys], _CUSTOMER))
+    assert got == want and not any(kind == "low-overlap" for _, kind in got)
