@@ -46,3 +46,49 @@ def range_join(left: DataFrame, right: DataFrame, by: float = 0.0, size: float |
     corner = lambda lo: F.floor((F.greatest(f"a.{lo}", f"b.{lo}") - by) / size).cast("long")
     met = a.join(b, ["_cx", "_cy"]).where(touching("a", "b", by))
     return met.where((corner("xmin") == F.col("_cx")) & (corner("ymin") == F.col("_cy"))).select("a", "b")
+
+
+#: Pairs that take about as long to compare as one copy of a row takes to be sent to its cell.
+_COPY = 50.0
+
+
+def _fitting_size(boxes: DataFrame) -> float:
+    """The grid size at which self_join() has least to do, taking boxes as evenly spread: smaller cells compare fewer pairs, larger ones copy fewer rows."""
+    wide, high = F.col("xmax") - F.col("xmin"), F.col("ymax") - F.col("ymin")
+    every = boxes.agg(F.count("*").alias("n"), F.avg(wide).alias("w"), F.avg(high).alias("h"), F.avg(wide * high).alias("s"), (F.max("xmax") - F.min("xmin")).alias("x"), (F.max("ymax") - F.min("ymin")).alias("y"), F.max(F.greatest(wide, high)).alias("most")).first()
+    if not every.most:
+        return (max(every.x or 0.0, every.y or 0.0) / max(every.n, 1) ** 0.5) or 1.0
+
+    def work(size: float) -> float:
+        cells, edges = every.s / size**2 + (every.w + every.h) / size + 1, (every.w + every.h) / size + 2
+        pairs = every.n**2 * min(1.0, size**2 / (every.x * every.y) if every.x * every.y else 1.0) * (cells + (every.w / size + 1) * (every.h / size + 1))
+        return _COPY * every.n * (1 + cells + edges) + pairs
+
+    return min((every.most / 2**k for k in range(12)), key=work)
+
+
+def self_join(boxes: DataFrame, size: float | None = None) -> DataFrame:
+    """(a struct, b struct) of all pairs of rows of one layer whose boxes meet, a.fid < b.fid; boxes are columns xmin, ymin, xmax, ymax, as in range_join().
+
+    Of two boxes that meet, either one's lower left corner lies in the other, or one's left edge crosses the other's lower edge. So a row goes to the cell
+    of its corner, to those of its two edges and to all its own, under one role each, and a pair meets in one cell under one role: none comes twice,
+    and cells much smaller than the boxes leave few pairs to compare that don't meet. Equal sides count as in order of fid.
+    """
+    size = size or _fitting_size(boxes)
+    cell = lambda c: F.floor(F.col(c) / size).cast("long")
+    at = lambda c: F.array(cell(f"{c}min"))
+    span = lambda c: F.sequence(cell(f"{c}min"), cell(f"{c}max"))
+
+    def placed(corner: bool, xs: Column, ys: Column, side: str) -> DataFrame:
+        cells = boxes.withColumn("_cx", F.explode(xs)).withColumn("_cy", F.explode(ys))
+        return cells.select(F.lit(corner).alias("_corner"), "_cx", "_cy", *(F.col(c).alias(f"{side}.{c}") for c in boxes.columns))
+
+    left = placed(True, at("x"), at("y"), "l").unionAll(placed(False, at("x"), span("y"), "l"))
+    right = placed(True, span("x"), span("y"), "r").unionAll(placed(False, span("x"), at("y"), "r"))
+    l, r = (lambda c: F.col(f"`l.{c}`")), (lambda c: F.col(f"`r.{c}`"))
+    behind = lambda c: (l(c) > r(c)) | ((l(c) == r(c)) & (l("fid") > r("fid")))
+    meet = (r("xmax") >= l("xmin")) & (r("xmin") <= l("xmax")) & (r("ymax") >= l("ymin")) & (r("ymin") <= l("ymax"))
+    # dealt out by cells even where a side is small enough to be sent to all: the pairs are the work
+    met = left.join(right.hint("merge"), ["_corner", "_cx", "_cy"]).where(meet & behind("xmin") & (behind("ymin") == F.col("_corner")) & (l("fid") != r("fid")))
+    first = l("fid") < r("fid")
+    return met.select(F.struct(*(F.when(first, l(c)).otherwise(r(c)).alias(c) for c in boxes.columns)).alias("a"), F.struct(*(F.when(first, r(c)).otherwise(l(c)).alias(c) for c in boxes.columns)).alias("b"))

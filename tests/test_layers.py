@@ -243,3 +243,20 @@ def test_low_overlap_is_told_by_the_share_that_is_reported(tables):
     keys = (78633, 2139, 52695, 15983, 35455)
     got, want = tables("schema_join_issues", customer=([(k, "", 3, 0.0, "") for k in keys], _CUSTOMER))
     assert got == want and not any(kind == "low-overlap" for _, kind in got)
+
+
+def test_pairs_within_a_layer_are_those_of_brute_force(spark):
+    import random
+
+    from terrace.functions.boxes import self_join
+
+    dice = random.Random(7)
+    # sides on few values, so that many are equal, some boxes alike, some a line or a point, and one over all
+    rows = [(k, x, y, x + dice.choice((0, 1, 2, 9)) / 4, y + dice.choice((0, 1, 3)) / 4) for k in range(300) for x, y in [(dice.randrange(-20, 20) / 4, dice.randrange(-20, 20) / 4)]] + [(300, -9.0, -9.0, 9.0, 9.0), (300, 1.0, 1.0, 2.0, 2.0), (301, None, 0.0, 1.0, 1.0)]
+    boxes = spark.createDataFrame(rows, "fid long, xmin double, ymin double, xmax double, ymax double")
+    met = lambda p, q: p[0] < q[0] and q[3] >= p[1] and q[1] <= p[3] and q[4] >= p[2] and q[2] <= p[4]
+    whole = [r for r in rows if None not in r]
+    want = sorted((p, q) for p in whole for q in whole if met(p, q))
+    for size in (None, 0.3, 20.0):
+        assert sorted((tuple(r.a), tuple(r.b)) for r in self_join(boxes, size).collect()) == want
+    assert self_join(boxes.where("fid < 0")).count() == 0 and self_join(boxes.where("xmin = xmax and ymin = ymax")).count() == sum(met(p, q) for p in whole for q in whole if p[1] == p[3] and p[2] == p[4] and q[1] == q[3] and q[2] == q[4])
