@@ -17,7 +17,7 @@ from terrace.llm._common import over_batches, small_batches
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
-#: Segments whose ids a worker keeps, and the longest that it keeps: bounds on memory alone.
+#: Segments in each of the two tables of ids that a worker keeps, and the longest that it keeps: bounds on memory alone.
 _KEPT, _KEPT_CHARS = 150_000, 48
 #: Stands for a control piece until bytes are joined: it has no text, but bytes on its two sides don't join.
 _BREAK = "\ud800"
@@ -88,7 +88,7 @@ class Pieces:
         self.ids = {p: k for k, (p, kind) in enumerate(zip(self.pieces, self.kinds)) if kind == NORMAL}
         if not spell:
             return
-        self.fits = lru_cache(1 << 16)(self._fits)
+        self.fits = lru_cache(1 << 17)(self._fits)
         self.chars = {p for p in self.ids if len(p) == 1}
         self.auto = ahocorasick.Automaton()
         for p, k in self.ids.items():
@@ -99,6 +99,7 @@ class Pieces:
         alone = "" if "\n" in "".join(self.ids) else "\n"
         self.segments = (lambda s: [s] if s else []) if crossing else re.compile(f"{SPACE}+[^{SPACE}{alone}]*|[^{SPACE}{alone}]+" + (f"|{alone}" if alone else "")).findall
         self.kept: dict[str, tuple[int, ...]] = {}
+        self.before: dict[str, tuple[int, ...]] = {}
         self.decimal = [str(k) for k in range(len(self.pieces))]
         # bytes become lone surrogates or ASCII until they are joined
         self.surface = [_BREAK if kind == CONTROL else " ⁇ " if kind == UNKNOWN else (lambda b: chr(b) if b < 128 else chr(0xDC00 + b))(int(p[3:5], 16)) if kind == BYTE else p.replace(SPACE, " ") for p, kind in zip(self.pieces, self.kinds)]
@@ -161,10 +162,13 @@ class Pieces:
     def _of(self, text: str) -> tuple[int, ...]:
         found = self.kept.get(text)
         if found is None:
-            found = self.segment(text)
+            found = self.before.get(text)
+            if found is None:
+                found = self.segment(text)
             if len(text) <= _KEPT_CHARS:
+                # what was used since the tables last changed places stays, the rest goes
                 if len(self.kept) >= _KEPT:
-                    self.kept.clear()
+                    self.before, self.kept = self.kept, {}
                 self.kept[text] = found
         return found
 

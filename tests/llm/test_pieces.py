@@ -31,3 +31,14 @@ def test_digests_of_every_row(spark, docs, piece_model):
     rows = pieces.encode_decode(docs(["a b", "a b"], ids=[1, 1]), piece_model).collect()
     assert [r.ids for r in rows] == [library.encode("a b")] * 2 and rows[0].decoded == "a b"
     assert pieces.encode_digests(docs([]), piece_model).count() == 0
+
+
+def test_segments_that_come_again_and_again_are_spelt_once(piece_model, monkeypatch):
+    own, library = pieces.Pieces(piece_model), sentencepiece.SentencePieceProcessor(model_file=piece_model)
+    monkeypatch.setattr(pieces, "_KEPT", 50)
+    spelt, segment = [], own.segment
+    own.segment = lambda text: spelt.append(text) or segment(text)
+    for k in range(40):  # 400 segments of one time, and two that every text has
+        text = "always here " + " ".join(f"rare{k}x{j}" for j in range(10))
+        assert own.encode(text) == library.encode(text)
+    assert spelt.count("▁always") == spelt.count("▁here") == 1 and len(own.kept) + len(own.before) <= 100
