@@ -14,7 +14,7 @@ from terrace.functions.kernel import dumped, register, st, with_box
 def _measured(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame, Callable[[str, str], Column]]:
     """Both layers' parts with their boxes, and what two parts a and b share.
 
-    Polygons (WKB in `geom`) are taken apart, and share square metres of an equal-area projection; boxes only sort out which parts can meet. Layers of
+    Polygons (WKB in `geom`) are taken apart, and share square metres of ground; boxes only sort out which parts can meet. Layers of
     boxes alone share their boxes' area. Where one layer has polygons the other's boxes become polygons too.
     """
     if not any("geom" in x.columns for x in (left, right)):

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from terrace.functions import text
 from terrace.functions.codes import CodeFormat, detected, parse_min_width
 from terrace.functions.hierarchy import Target, canonical_order, chosen, families, free_sibling, further, inserted, is_noise, level_of, levels_of, renames
+from terrace.functions.kernel import register, st
 from terrace.operators import assign, change, code_create, code_detect, dissolve, name_detect, package, schema_detect, schema_fill, topology
 from terrace.plans import registry
 
@@ -267,3 +268,17 @@ def test_polygons_go_to_the_larger_share_to_the_last_digit(tables):
     keys = (384803, 407287, 429771, 452255, 777020, 799504)
     got, want = tables("assign_many_polygons", customer=([(k, "", 3, 0.0, "") for k in keys], _CUSTOMER))
     assert got == want
+
+
+def test_polygons_share_ground_between_meridians(tables, spark):
+    # two shares 4.4e-5 apart, which sides straight in a projection put in the other order
+    got, want = tables("assign_many_polygons", customer=([(889798, "", 3, 0.0, "")], _CUSTOMER))
+    assert got == want == [(889798, 22)]
+    register(spark)
+    area = lambda *corners: spark.range(1).select(st("area_m2", st("geomfromtext", F.lit(f"POLYGON(({', '.join(f'{x} {y}' for x, y in [*corners, corners[0]])}))")))).first()[0]
+    whole, low, high = area((10, 0), (40, 0), (40, 60), (10, 60)), area((10, 0), (40, 0), (40, 60)), area((10, 0), (40, 60), (10, 60))
+    assert whole == pytest.approx(2 * area((10, 0), (25, 0), (25, 60), (10, 60)), rel=1e-12) and low + high == pytest.approx(whole, rel=1e-12)
+    assert whole == pytest.approx(area((160, 0), (190, 0), (190, 60), (160, 60)), rel=1e-12)
+    assert area((-180, -90), (180, -90), (180, 90), (-180, 90)) == pytest.approx(510065621724089, rel=1e-11)
+    steps = [(10 + 30 * k / 600, 60 * k / 600) for k in range(601)]
+    assert low == pytest.approx(area((40, 0), *reversed(steps)), rel=1e-12)
