@@ -215,3 +215,33 @@ def test_rows_that_share_a_doc_id_but_no_text_stay(docs):
 def test_without():
     assert substring.without("a  b\nc d", [(1, 3)]) == "a  d"
     assert substring.without("a b", [(0, 2)]) == ""
+
+
+def test_keys_of_many_windows_lose_no_row(docs, monkeypatch):
+    rng = random.Random(17)
+    fresh = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for k in range(100):
+        p = fresh(52)
+        q = p[: 10 + k % 30] + fresh(1) + p[11 + k % 30 :]
+        texts += [" ".join(fresh(60) + x + fresh(60)) for x in (p, q)]
+    found = []
+    for hot in (10**9, 1):
+        monkeypatch.setattr(substring, "_HOT", hot)
+        rows, _ = substring._passage_rows(docs(texts), 5, 46, 0.8, 3)
+        found.append({tuple(r) for r in rows.collect()})
+    assert found[0] and found[0] <= found[1]
+
+
+def test_windows_that_are_dealt_out_are_compared_by_their_group():
+    rng = np.random.default_rng(12)
+    width, n = 6, 60
+    context = rng.integers(1, 1 << 32, (n, 2 * width - 1)).astype(np.uint64)
+    context[1::2] = context[::2]
+    context[1::2, 0] = 9
+    group = np.repeat(np.arange(n // 2), 2)
+    want = {k * n + k - 1 for k in range(1, n, 2)}
+    for dealt in (np.ones(n, bool), np.arange(n) < 30, np.zeros(n, bool)):
+        got = substring.near_links(group, context, width, 0.8, dealt)
+        assert set(got.tolist()) == want
+    assert not len(substring.near_links(np.arange(n), context, width, 0.8, np.ones(n, bool)))
